@@ -94,10 +94,15 @@ def kpss_p(statistic: Column) -> Column:
     return F.when(statistic <= KPSS_CRITICAL[0], F.lit(KPSS_P[0])).otherwise(out)
 
 
+# (upper limit of the absolute value, digits, shift). The shift keeps exact decimal
+# ties, which averages of cents do produce, away from the rounding border.
+TIDY_TIERS = (("1e6", 6, 3.14159e-8), ("1e9", 2, 3.14159e-4), ("1e12", -2, 3.14159))
+TIDY_LAST = ("", -5, 3141.59)
+
+
 def tidy(x: Column) -> Column:
     """Round for comparison across engines: fewer digits for larger values."""
-    size = F.abs(x)
-    return (
-        F.when(size < 1e6, F.round(x, 6)).when(size < 1e9, F.round(x, 2))
-        .when(size < 1e12, F.round(x, -2)).otherwise(F.round(x, -5)) + F.lit(0.0)
-    )
+    out = F.round(x + TIDY_LAST[2], TIDY_LAST[1])
+    for top, digits, shift in reversed(TIDY_TIERS):
+        out = F.when(F.abs(x) < float(top), F.round(x + shift, digits)).otherwise(out)
+    return F.when(x.isNotNull(), out + F.lit(0.0))
