@@ -106,3 +106,8 @@ def tidy(x: Column) -> Column:
     for top, digits, shift in reversed(TIDY_TIERS):
         out = F.when(F.abs(x) < float(top), F.round(x + shift, digits)).otherwise(out)
     return F.when(x.isNotNull(), out + F.lit(0.0))
+
+
+def tidy_small(x: Column) -> Column:
+    """:func:`tidy` for values known to stay below a million; a much shorter expression."""
+    return F.round(x + TIDY_TIERS[0][2], TIDY_TIERS[0][1]) + F.lit(0.0)

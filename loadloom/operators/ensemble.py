@@ -46,9 +46,18 @@ def _lattice(members: int, limit: int = 200) -> list[tuple[float, ...]]:
     return out
 
 
-def _mae(y: str, members: Sequence[str], weights: Sequence[Column]) -> Column:
-    mix = sum((w * F.col(m) for w, m in zip(weights, members)), F.lit(0.0))
-    return F.avg(F.abs(F.col(y) - mix))
+def _mae(y: str, members: Sequence[str], weights: Sequence[str], name: str) -> Column:
+    """MAE of a blend; the weights are SQL fragments."""
+    mix = " + ".join(f"{w} * {m}" for w, m in zip(weights, members))
+    return F.expr(f"avg(abs({y} - ({mix})))").alias(name)
+
+
+def _pick(scored: DataFrame, weights: Sequence[str]) -> DataFrame:
+    """(series_id, weights, mae) of the lowest MAE, the earlier candidate on a tie."""
+    options = ", ".join(f"named_struct('mae', _c{i}, 'i', {i}, 'weights', {w})"
+                        for i, w in enumerate(weights))
+    return scored.select("series_id", F.expr(f"array_min(array({options}))").alias("b")).select(
+        "series_id", F.col("b.weights").alias("weights"), F.col("b.mae").alias("mae"))
 
 
 def search_weights(frame: DataFrame, members: Sequence[str], y: str = "y", split: str = "val",
@@ -63,37 +72,27 @@ def search_weights(frame: DataFrame, members: Sequence[str], y: str = "y", split
         raise ValueError("an ensemble needs at least one member")
     rows = cut_lineage(frame.where(F.col("split") == split).select("series_id", y, *members))
 
-    def pick(scored: DataFrame, options: list[tuple[Column, Column]], extra: Sequence[str] = ()):
-        # Lowest MAE, the earlier candidate on a tie.
-        best = F.array_min(F.array(*[F.struct(score.alias("mae"), F.lit(i).alias("i"),
-                                              w.alias("weights"))
-                                     for i, (score, w) in enumerate(options)]))
-        return scored.select("series_id", best.alias("b")).select(
-            "series_id", F.col("b.weights").alias("weights"), F.col("b.mae").alias("mae"))
-
-    lattice = _lattice(m)
+    lattice = [[f"{w!r}D" for w in candidate] for candidate in _lattice(m)]
     scored = rows.groupBy("series_id").agg(*[
-        _mae(y, members, [F.lit(w) for w in candidate]).alias(f"_c{i}")
-        for i, candidate in enumerate(lattice)])
-    best = pick(scored, [(F.col(f"_c{i}"), F.array(*[F.lit(w) for w in candidate]))
-                         for i, candidate in enumerate(lattice)])
+        _mae(y, members, weights, f"_c{i}") for i, weights in enumerate(lattice)])
+    best = _pick(scored, [f"array({', '.join(weights)})" for weights in lattice])
     moves = [None, *itertools.permutations(range(m), 2)]
     step = 0.5 / 10
     for _ in range(rounds if m > 1 else 0):
         options = []
         for move in moves:
-            shifted = [F.col("weights")[i] for i in range(m)]
+            shifted = [f"weights[{i}]" for i in range(m)]
             if move:
-                shifted[move[0]] = F.abs(shifted[move[0]] + step)
-                shifted[move[1]] = F.abs(shifted[move[1]] - step)
-            total = sum(shifted, F.lit(0.0)) + 1e-8
-            options.append(F.array(*[w / total for w in shifted]))
-        table = best.select("series_id", F.array(*options).alias("_o"))
+                shifted[move[0]] = f"abs(weights[{move[0]}] + {step!r}D)"
+                shifted[move[1]] = f"abs(weights[{move[1]}] - {step!r}D)"
+            total = f"({' + '.join(shifted)} + 1e-8D)"
+            options.append("array(" + ", ".join(f"{w} / {total}" for w in shifted) + ")")
+        table = best.select("series_id", F.expr(f"array({', '.join(options)})").alias("_o"))
         scored = rows.join(table, "series_id").groupBy("series_id").agg(
             F.first("_o").alias("_o"),
-            *[_mae(y, members, [F.col("_o")[k][i] for i in range(m)]).alias(f"_c{k}")
+            *[_mae(y, members, [f"_o[{k}][{i}]" for i in range(m)], f"_c{k}")
               for k in range(len(moves))])
-        best = pick(scored, [(F.col(f"_c{k}"), F.col("_o")[k]) for k in range(len(moves))])
+        best = _pick(scored, [f"_o[{k}]" for k in range(len(moves))])
         step /= 2
     floored = F.transform("weights", lambda w: F.greatest(w, F.lit(MIN_WEIGHT)))
     total = F.aggregate(floored, F.lit(0.0), lambda a, w: a + w)
@@ -126,18 +125,16 @@ def fit_seasonal_blend(frame: DataFrame, pred: str = "y_pred", daily: str = "nai
     """(series_id, w, v, mae): the blend weights with the lowest validation MAE."""
     grid = [(i / steps, j / steps) for i in range(steps + 1)
             for j in (range(steps + 1) if weekly else [steps])]
-    rows = frame.where(F.col("split") == split)
 
-    def score(w: float, v: float) -> Column:
-        mix = w * F.col(pred) + (1.0 - w) * F.col(daily)
+    def score(w: float, v: float, name: str) -> Column:
+        mix = f"{w!r}D * {pred} + {1.0 - w!r}D * {daily}"
         if weekly:
-            mix = v * mix + (1.0 - v) * F.col(weekly)
-        return F.avg(F.abs(F.col(y) - mix))
-
-    scored = rows.groupBy("series_id").agg(
-        *[score(w, v).alias(f"_c{i}") for i, (w, v) in enumerate(grid)])
-    best = F.array_min(F.array(*[
-        F.struct(F.round(f"_c{i}", 9).alias("mae"), F.lit(i).alias("i"), F.lit(w).alias("w"),
-                 F.lit(v).alias("v")) for i, (w, v) in enumerate(grid)]))
-    return scored.select("series_id", best.alias("b")).select(
+            mix = f"{v!r}D * ({mix}) + {1.0 - v!r}D * {weekly}"
+        return F.expr(f"avg(abs({y} - ({mix})))").alias(name)
+
+    scored = frame.where(F.col("split") == split).groupBy("series_id").agg(
+        *[score(w, v, f"_c{i}") for i, (w, v) in enumerate(grid)])
+    options = ", ".join(f"named_struct('mae', round(_c{i}, 9), 'i', {i}, 'w', {w!r}D, 'v', {v!r}D)"
+                        for i, (w, v) in enumerate(grid))
+    return scored.select("series_id", F.expr(f"array_min(array({options}))").alias("b")).select(
         "series_id", "b.w", "b.v", "b.mae")

@@ -6,15 +6,16 @@ horizons share one cached feature table, so the windows are computed once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CHANNELS, ForecastConfig, TreeConfig
 from .features import feature_table, unscale
@@ -50,28 +51,43 @@ def _horizons(cfg: ForecastConfig, horizons: Sequence[int] | None) -> list[int]:
     return list(horizons) if horizons else list(range(1, cfg.horizon + 1))
 
 
+def _side_by_side(fit: Callable[[int], Model], steps: Sequence[int], threads: int = 4) -> list:
+    """Fit the steps ahead at the same time, so that small jobs fill the cluster."""
+    with ThreadPool(min(threads, len(steps))) as pool:
+        session = SparkSession.getActiveSession()
+        return pool.map(inheritable_thread_target(session)(fit), steps)
+
+
 def fit_ridge(table: DataFrame, cfg: ForecastConfig, names: Sequence[str], alpha: float = 1.0,
               horizons: Sequence[int] | None = None) -> PipelineModel:
     """Ridge regression per step ahead on the train rows.
 
     MLlib divides the loss by n and scales the label by its standard deviation; the
     penalty below undoes both, so ``alpha`` is the textbook one (Σ r² + α‖w‖²).
+    Features that do not vary are left out first: they get weight 0 anyway, but make
+    the normal equations singular.
     """
     steps = _horizons(cfg, horizons)
-    assembler = VectorAssembler(inputCols=list(names), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(names), outputCol="all_features")
+    selector = VarianceThresholdSelector(featuresCol="all_features", outputCol="features",
+                                         varianceThreshold=1e-12)
     labels = [F.col("y")[h - 1].alias(f"label_{h}") for h in steps]
-    train = assembler.transform(table.where(F.col("split") == "train")).select("features", *labels)
-    with held(train):
+    raw = assembler.transform(table.where(F.col("split") == "train")).select("all_features", *labels)
+    with held(raw):
+        chosen = selector.fit(raw)
+        train = chosen.transform(raw).select("features", *[f"label_{h}" for h in steps])
         spread = train.agg(F.count(F.lit(1)).alias("n"),
                            *[F.stddev_pop(f"label_{h}").alias(f"s_{h}") for h in steps]).first()
-        fitted = []
-        for h in steps:
+
+        def fit(h: int):
             penalty = alpha * (spread[f"s_{h}"] or 0.0) / max(spread["n"], 1)
-            fitted.append(LinearRegression(
+            return LinearRegression(
                 featuresCol="features", labelCol=f"label_{h}", predictionCol=f"pred_{h}",
                 regParam=penalty, elasticNetParam=0.0, standardization=False,
-                solver="normal" if len(names) <= 4096 else "auto").fit(train))
-    return PipelineModel([assembler, *fitted])
+                solver="normal" if len(names) <= 4096 else "auto").fit(train)
+
+        fitted = _side_by_side(fit, steps)
+    return PipelineModel([assembler, chosen, *fitted])
 
 
 def fit_gbt(table: DataFrame, cfg: ForecastConfig, names: Sequence[str],
@@ -84,14 +100,15 @@ def fit_gbt(table: DataFrame, cfg: ForecastConfig, names: Sequence[str],
     data = (assembler.transform(table.where(F.col("split").isin("train", "val")))
             .select("features", *labels, (F.col("split") == "val").alias("is_val")))
     with held(data):
-        fitted = [
-            GBTRegressor(
+        def fit(h: int):
+            return GBTRegressor(
                 featuresCol="features", labelCol=f"label_{h}", predictionCol=f"pred_{h}",
                 maxIter=trees.rounds, maxDepth=trees.depth, stepSize=trees.rate,
                 subsamplingRate=trees.subsample, minInstancesPerNode=trees.min_child,
                 featureSubsetStrategy=str(trees.colsample), validationIndicatorCol="is_val",
                 seed=42).fit(data)
-            for h in steps]
+
+        fitted = _side_by_side(fit, steps)
     return PipelineModel([assembler, *fitted])
 
 
@@ -105,9 +122,14 @@ def fit_forecaster(kind: str, table: DataFrame, cfg: ForecastConfig, names: Sequ
     raise ValueError(f"unknown model kind {kind!r}; known: {KINDS}")
 
 
+def regressions(model: PipelineModel) -> list:
+    """The per-step regression stages."""
+    return [s for s in model.stages if hasattr(s, "getPredictionCol")]
+
+
 def fitted_horizons(model: PipelineModel) -> list[int]:
     """Steps ahead the model was fitted for."""
-    return [int(s.getPredictionCol().removeprefix("pred_")) for s in model.stages[1:]]
+    return [int(s.getPredictionCol().removeprefix("pred_")) for s in regressions(model)]
 
 
 def predict_long(model: PipelineModel, table: DataFrame, name: str,
@@ -115,7 +137,6 @@ def predict_long(model: PipelineModel, table: DataFrame, name: str,
     """Long predictions in original units: (series_id, model, split, origin_ts, origin_idx, h, …)."""
     steps = fitted_horizons(model)
     low, high = F.col("consumption_min"), F.col("consumption_max")
-    # Known to the targets' split, so that backtests can cut it into blocks.
     cells = F.array(*[
         F.struct(F.lit(h).alias("h"), F.col(f"pred_{h}").alias("p"),
                  *([F.col("y")[h - 1].alias("t")] if with_truth else [])) for h in steps])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import (DAYS_PER_MONTH, DAYS_PER_YEAR, HOURS_PER_YEAR, STRATEGIES, Battery, Strategy,
                       Tariff)
-from ..functions.timeparts import tariff_zone, zone_price
+from ..functions.timeparts import hour_index, hour_start, tariff_zone, zone_price
 from .blocks import BLOCK_ROWS, running_sum
 from .scan import state_scan
 
@@ -17,14 +17,17 @@ PLAN = ("series_id", "strategy")
 SLACK = 0.1  # kWh; closer to a limit than this the battery rests
 
 
+FLOWS = ("soc_before", "soc", "charged", "discharged")
+
+
 def _dispatch_step(battery: Battery, cap_to_demand: bool):
     efficiency = float(np.sqrt(battery.efficiency))
     power, capacity = battery.max_power, battery.capacity
 
     def step(columns: dict[str, np.ndarray], soc: float):
-        zone, load = columns["zone"], columns["load"].astype(float)
+        zone = columns["zone"]
         low, high = float(columns["soc_low"][0]), float(columns["soc_high"][0])
-        n = len(load)
+        n = len(zone)
         before, level = np.empty(n), np.empty(n)
         stored, drawn = np.zeros(n), np.zeros(n)
         for i in range(n):
@@ -35,13 +38,10 @@ def _dispatch_step(battery: Battery, cap_to_demand: bool):
             elif zone[i] == "peak" and soc > low + SLACK:
                 drawn[i] = min(power, soc - low)
                 if cap_to_demand:
-                    drawn[i] = min(drawn[i], load[i] / efficiency)
+                    drawn[i] = min(drawn[i], columns["load"][i] / efficiency)
                 soc -= drawn[i]
             soc = level[i] = min(max(soc, 0.0), capacity)
-        grid = np.where(drawn > 0, np.maximum(0.0, load - drawn * efficiency),
-                        load + stored / efficiency)
-        return {"soc_before": before, "soc": level, "charged": stored, "discharged": drawn,
-                "grid_kwh": grid}, soc
+        return {"soc_before": before, "soc": level, "charged": stored, "discharged": drawn}, soc
 
     return step
 
@@ -55,6 +55,10 @@ def dispatch(df: DataFrame, battery: Battery, strategies: Sequence[Strategy] = S
     Night charges up to the corridor's top, peak discharges down to its bottom. The
     zones follow the rows' own timestamps; ``value`` may be an actual or a forecast.
     Delivered energy beyond the demand is lost unless ``cap_to_demand``.
+
+    The state of charge depends on the clock and the corridor, not on the load, so the
+    recurrence runs once per distinct starting hour and its result is joined to the
+    series. Only ``cap_to_demand`` ties it to the load and needs a scan per series.
     """
     battery.require_cost()
     corridors = F.array(*[
@@ -62,16 +66,36 @@ def dispatch(df: DataFrame, battery: Battery, strategies: Sequence[Strategy] = S
                  F.lit(s.min_soc * battery.capacity).alias("soc_low"),
                  F.lit(s.max_soc * battery.capacity).alias("soc_high"))
         for i, s in enumerate(strategies)])
-    rows = df.select("series_id", "ts", "pos", F.col(value).cast("double").alias("load"),
-                     tariff_zone(F.col("ts"), use_holidays).alias("zone")).withColumn(
-        "price", zone_price(F.col("zone"), tariff)).select("*", F.inline(corridors))
-    made = state_scan(rows, _dispatch_step(battery, cap_to_demand),
-                      battery.initial_soc * battery.capacity,
-                      ["soc_before", "soc", "charged", "discharged", "grid_kwh"], keys=PLAN,
-                      horizon=horizon, chunk_rows=chunk_rows)
+    rows = df.select("series_id", "ts", "pos", F.col(value).cast("double").alias("load"))
+    if horizon is not None:
+        rows = rows.where(F.col("pos") < horizon)
+    step = _dispatch_step(battery, cap_to_demand)
+    start_soc = battery.initial_soc * battery.capacity
+
+    def zoned(table: DataFrame) -> DataFrame:
+        return table.withColumn("zone", tariff_zone(F.col("ts"), use_holidays))
+
+    if cap_to_demand:
+        made = state_scan(zoned(rows).select("*", F.inline(corridors)), step, start_soc, FLOWS,
+                          keys=PLAN, horizon=horizon, chunk_rows=chunk_rows)
+    else:
+        rows = rows.withColumn("start", hour_index(F.col("ts")) - F.col("pos"))
+        clocks = rows.groupBy("start").agg(F.max("pos").alias("last")).select(
+            "start", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("pos"))
+        clocks = zoned(clocks.withColumn("ts", hour_start(F.col("start") + F.col("pos"))))
+        plan = state_scan(clocks.drop("ts").select("*", F.inline(corridors)), step, start_soc,
+                          FLOWS, keys=("start", "strategy"), horizon=horizon,
+                          chunk_rows=chunk_rows)
+        made = rows.join(plan, ["start", "pos"]).drop("start")
+    load, efficiency = F.col("load"), float(np.sqrt(battery.efficiency))
+    grid = F.when(F.col("discharged") > 0, F.greatest(
+        F.lit(0.0), load - F.col("discharged") * efficiency)).otherwise(
+        load + F.col("charged") / efficiency)
     action = (F.when(F.col("charged") > 0, "charge").when(F.col("discharged") > 0, "discharge")
               .otherwise("idle"))
-    return made.withColumns({"action": action, "cost": F.col("grid_kwh") * F.col("price")})
+    return made.withColumns({
+        "price": zone_price(F.col("zone"), tariff), "grid_kwh": grid, "action": action,
+    }).withColumn("cost", F.col("grid_kwh") * F.col("price"))
 
 
 def cumulative_savings(schedule: DataFrame) -> DataFrame:

@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, Row, functions as F
 from ..config import CHANNELS, ForecastConfig
 from ..sources.tables import write_results_csv
 from .evaluate import evaluate_models
-from .models import KINDS, feature_names, fit_forecaster, held, model_table, predict_long
+from .models import (KINDS, feature_names, fit_forecaster, held, model_table, predict_long,
+                     regressions)
 from .windows import NAIVES, forecast_frame, to_long
 
 
 def model_size(model: PipelineModel) -> int:
     """Coefficients of linear stages plus nodes of tree stages."""
     total = 0
-    for stage in model.stages[1:]:
+    for stage in regressions(model):
         total += stage.totalNumNodes if hasattr(stage, "totalNumNodes") else (
             stage.coefficients.size + 1)
     return total

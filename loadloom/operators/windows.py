@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import NAIVE_WEIGHTS, PATCH_LENGTHS, ForecastConfig
 from .blocks import Blocks
@@ -131,12 +131,19 @@ def lag_features(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
     ``latest`` gives the last row of each series instead of the origins with targets.
     """
     t = cfg.history
-    blocks = Blocks(before=t - 1, after=cfg.horizon)
+    blocks = Blocks(before=t, after=cfg.horizon)
     ordered = blocks.window()
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def frame(width: int):
         return blocks.frame(-(min(width, t) - 1), 0)
 
+    def mean(c: str, width: int) -> Column:
+        # Difference of the block's running sum: the cost does not grow with the width.
+        width = min(width, t)
+        before = F.coalesce(F.lag(f"_sum_{c}", width).over(ordered), F.lit(0.0))
+        return (F.col(f"_sum_{c}") - before) / float(width)
+
     def back(k: int) -> Column:
         return F.lag(load, k).over(ordered) if k else F.col(load)
 
@@ -146,7 +153,7 @@ def lag_features(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
         for k in range(t - 1, -1, -1):
             new[f"load_t{k}"] = back(k)
     for width in (3, 6, 12, 24):
-        new[f"load_mean{width}"] = F.avg(load).over(frame(width))
+        new[f"load_mean{width}"] = mean(load, width)
     for width in (6, 24):
         new[f"load_std{width}"] = F.stddev_pop(load).over(frame(width))
     low, high = F.min(load).over(frame(24)), F.max(load).over(frame(24))
@@ -160,17 +167,19 @@ def lag_features(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
             new[f"{c}_last"] = F.col(c)
     for width in (6, 12, 24, 48):
         for c in channels:
-            new[f"{c}_rm{width}"] = F.avg(c).over(frame(width))
+            new[f"{c}_rm{width}"] = mean(c, width)
     for width in (6, 24):
         for c in channels:
             new[f"{c}_rs{width}"] = F.stddev_pop(c).over(frame(width))
     names = list(new)
+    summed = blocks.spread(df).withColumns(
+        {f"_sum_{c}": F.sum(c).over(upto) for c in dict.fromkeys((load, *channels))})
     if latest:
-        rows = blocks.core(blocks.spread(df).withColumns(new)).where(
+        rows = blocks.core(summed.withColumns(new)).where(
             F.col("pos") == F.col("n") - 1)
         return rows.select("series_id", F.col("ts").alias("origin_ts"), *names, *carry)
     new["y"] = F.collect_list(load).over(blocks.frame(1, cfg.horizon))
-    rows = blocks.core(blocks.spread(df).withColumns(new)).where(is_origin(cfg))
+    rows = blocks.core(summed.withColumns(new)).where(is_origin(cfg))
     return rows.select("series_id", "split", F.col("ts").alias("origin_ts"), "pos",
                        origin_idx(cfg).alias("origin_idx"), *names, "y", *carry)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..config import STRATEGIES, Battery, ForecastConfig, TreeConfig
 from ..functions import scores, weather
-from ..functions.stats import tidy
+from ..functions.stats import tidy, tidy_small
 from ..operators import (calendar, decompose, ensemble, evaluate, features, models, profile,
                          quality, residuals, scan, storage, sweep, windows)
 from ..session import scratch_path
@@ -322,8 +322,12 @@ def naive_window_lag(spark, sf):
 
 @query
 def lag_features(spark, sf):
-    table = windows.lag_features(typed_features(spark, sf), CFG, LAG_CHANNELS)
-    return shown(table.drop("pos", "y"))
+    table = windows.lag_features(typed_features(spark, sf), CFG, LAG_CHANNELS).drop("pos", "y")
+    # Scaled channels are small; only the ratio can be large.
+    return table.select(*[
+        c if c in ("series_id", "split", "origin_ts", "origin_idx")
+        else (tidy if c == "load_ratio24" else tidy_small)(F.col(c)).alias(c)
+        for c in table.columns])
 
 
 @query
