@@ -46,55 +46,73 @@ def _lattice(members: int, limit: int = 200) -> list[tuple[float, ...]]:
     return out
 
 
-def _mae(y: str, members: Sequence[str], weights: Sequence[str], name: str) -> Column:
-    """MAE of a blend; the weights are SQL fragments."""
-    mix = " + ".join(f"{w} * {m}" for w, m in zip(weights, members))
-    return F.expr(f"avg(abs({y} - ({mix})))").alias(name)
-
-
-def _pick(scored: DataFrame, weights: Sequence[str]) -> DataFrame:
-    """(series_id, weights, mae) of the lowest MAE, the earlier candidate on a tie."""
-    options = ", ".join(f"named_struct('mae', _c{i}, 'i', {i}, 'weights', {w})"
-                        for i, w in enumerate(weights))
+def _shifts(members: int, limit: int = 100) -> tuple[int, list[tuple[int, ...]]]:
+    """(r, moves): weight moves in whole steps, at most r per member, that keep the sum."""
+    if members <= 5:
+        for r in (4, 3, 2):
+            moves = [m for m in itertools.product(range(-r, r + 1), repeat=members) if not sum(m)]
+            if len(moves) <= limit:
+                return r, sorted(moves, key=lambda m: sum(map(abs, m)))
+    pairs = [tuple((k == i) - (k == j) for k in range(members))
+             for i, j in itertools.permutations(range(members), 2)]
+    return 1, [(0,) * members, *pairs]
+
+
+def _mae(error: str, members: Sequence[str], factors: Sequence[float], name: str) -> Column:
+    """Mean absolute value of an error after taking off fixed multiples of the members."""
+    mix = " + ".join(f"{k!r}D * {m}" for k, m in zip(factors, members) if k) or "0D"
+    return F.expr(f"avg(abs({error} - ({mix})))").alias(name)
+
+
+def _pick(scored: DataFrame, weights: Sequence[Sequence[str]], valid: Sequence[str]) -> DataFrame:
+    """(series_id, w0, w1, …, mae) of the lowest MAE, the earlier candidate on a tie."""
+    options = ", ".join(
+        f"if({ok}, named_struct('mae', _c{i}, 'i', {i}, 'w', array({', '.join(w)})), NULL)"
+        for i, (w, ok) in enumerate(zip(weights, valid)))
     return scored.select("series_id", F.expr(f"array_min(array({options}))").alias("b")).select(
-        "series_id", F.col("b.weights").alias("weights"), F.col("b.mae").alias("mae"))
+        "series_id", *[F.col("b.w")[i].alias(f"w{i}") for i in range(len(weights[0]))],
+        F.col("b.mae").alias("mae"))
 
 
 def search_weights(frame: DataFrame, members: Sequence[str], y: str = "y", split: str = "val",
-                   rounds: int = 5) -> DataFrame:
+                   precision: float = 0.004) -> DataFrame:
     """(series_id, weights, mae): member weights that minimise the validation MAE.
 
-    A lattice over the simplex first, then rounds of moving half the previous step from
-    one member to another. At the end every weight is at least 0.001 and they sum to 1.
+    A lattice over the simplex first, then finer moves around the best point of each
+    series, until a step is at most ``precision``: three passes for three members. The
+    error is convex in the weights, so the neighbourhood of the best point is enough. At
+    the end every weight is at least 0.001 and they sum to 1.
     """
     m = len(members)
     if not m:
         raise ValueError("an ensemble needs at least one member")
     rows = cut_lineage(frame.where(F.col("split") == split).select("series_id", y, *members))
 
-    lattice = [[f"{w!r}D" for w in candidate] for candidate in _lattice(m)]
+    points = _lattice(m)
     scored = rows.groupBy("series_id").agg(*[
-        _mae(y, members, weights, f"_c{i}") for i, weights in enumerate(lattice)])
-    best = _pick(scored, [f"array({', '.join(weights)})" for weights in lattice])
-    moves = [None, *itertools.permutations(range(m), 2)]
-    step = 0.5 / 10
-    for _ in range(rounds if m > 1 else 0):
-        options = []
-        for move in moves:
-            shifted = [f"weights[{i}]" for i in range(m)]
-            if move:
-                shifted[move[0]] = f"abs(weights[{move[0]}] + {step!r}D)"
-                shifted[move[1]] = f"abs(weights[{move[1]}] - {step!r}D)"
-            total = f"({' + '.join(shifted)} + 1e-8D)"
-            options.append("array(" + ", ".join(f"{w} / {total}" for w in shifted) + ")")
-        table = best.select("series_id", F.expr(f"array({', '.join(options)})").alias("_o"))
-        scored = rows.join(table, "series_id").groupBy("series_id").agg(
-            F.first("_o").alias("_o"),
-            *[_mae(y, members, [f"_o[{k}][{i}]" for i in range(m)], f"_c{k}")
-              for k in range(len(moves))])
-        best = _pick(scored, [f"_o[{k}]" for k in range(len(moves))])
-        step /= 2
-    floored = F.transform("weights", lambda w: F.greatest(w, F.lit(MIN_WEIGHT)))
+        _mae(y, members, w, f"_c{i}") for i, w in enumerate(points)])
+    best = _pick(scored, [[f"{w!r}D" for w in point] for point in points],
+                 ["true"] * len(points))
+    reach, moves = _shifts(m)
+    step = min(w for point in points for w in point if w > 0)
+    names = [f"w{i}" for i in range(m)]
+    now = " + ".join(f"{w} * {c}" for w, c in zip(names, members))
+    while m > 1 and step > precision:
+        step /= reach + 1
+        # A move changes the error of the current weights by fixed multiples of the
+        # members. The weights are constant per series; as keys they keep the
+        # aggregation hashed.
+        scored = (
+            rows.join(best.drop("mae"), "series_id").withColumn("_e", F.expr(f"{y} - ({now})"))
+            .groupBy("series_id", *names)
+            .agg(*[_mae("_e", members, [k * step for k in move], f"_c{i}")
+                   for i, move in enumerate(moves)]))
+        moved = [[f"greatest(0D, {w} + {k * step!r}D)" for w, k in zip(names, move)]
+                 for move in moves]
+        inside = [" and ".join(f"{w} + {k * step!r}D > -1e-9D" for w, k in zip(names, move))
+                  for move in moves]
+        best = _pick(scored, moved, inside)
+    floored = F.array(*[F.greatest(F.col(w), F.lit(MIN_WEIGHT)) for w in names])
     total = F.aggregate(floored, F.lit(0.0), lambda a, w: a + w)
     return best.select("series_id", F.transform(floored, lambda w: w / total).alias("weights"),
                        "mae")

@@ -17,11 +17,14 @@ def hourly_grid(events: DataFrame, series: str | Column, ts: str = "ts", value:
 
     Raw rows and one zero row per cell go through the same aggregation, so the raw
     rows are combined before the only large shuffle and no join is needed. A series
-    of any volume arrives at that shuffle as one row per hour and task.
+    of any volume arrives at that shuffle as one row per hour and task. Rows without a
+    series or time have no cell; leaving them out here, once, also keeps the plan of the
+    grid the same on both sides of later joins, so that Spark computes it once.
     """
     key = F.col(series) if isinstance(series, str) else series
     raw = events.select(key.cast("string").alias("series_id"), hour_index(F.col(ts)).alias("hr"),
-                        F.col(value).cast("double").alias("load"))
+                        F.col(value).cast("double").alias("load")).where(
+        "series_id IS NOT NULL AND hr IS NOT NULL")
     spans = raw.groupBy("series_id").agg(F.min("hr").alias("lo"), F.max("hr").alias("hi"))
     if span == "global":
         ends = raw.agg(F.min("hr").alias("lo"), F.max("hr").alias("hi"))

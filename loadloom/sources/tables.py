@@ -34,16 +34,19 @@ def write_hourly_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_hourly(df: DataFrame, path: str, partition: str | None = "series_id") -> None:
+def write_hourly(df: DataFrame, path: str, partition: str | None = "series_id",
+                 ts: str = "timestamp") -> None:
     """Hourly observations as Parquet, by default one folder per series.
 
-    With many thousand series pass a coarser column, such as a month, as ``partition``.
+    Rows are range-partitioned by (partition, time) first: a series lies in few files
+    instead of one per task, and a long one still spreads over several tasks. With very
+    many series pass a coarser column, such as a month, as ``partition``.
     """
-    writer = df.write.mode("overwrite")
     if partition:
-        # One writer per folder value at most; big values are split by file size.
-        writer = writer.partitionBy(partition).option("maxRecordsPerFile", 5_000_000)
-    writer.parquet(path)
+        df.repartitionByRange(partition, ts).write.mode("overwrite").partitionBy(
+            partition).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:

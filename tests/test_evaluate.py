@@ -122,7 +122,7 @@ def test_weight_search_finds_the_known_blend(spark):
         parts.append(pd.DataFrame(p, columns=["a", "b", "c"]).assign(
             series_id=name, split="val", y=p @ np.array(w)))
     df = spark.createDataFrame(pd.concat(parts))
-    got = {r.series_id: r for r in ensemble.search_weights(df, ("a", "b", "c"), rounds=6).collect()}
+    got = {r.series_id: r for r in ensemble.search_weights(df, ("a", "b", "c")).collect()}
     for name, w in (("s", (0.7, 0.3, 0.0)), ("t", (0.15, 0.0, 0.85))):
         found = np.array(got[name].weights)
         assert found.sum() == pytest.approx(1) and found.min() >= 0.0009
@@ -138,6 +138,20 @@ def test_weight_lattice_stays_within_its_limit():
         assert all(sum(p) == pytest.approx(1) for p in points)
 
 
+def test_weight_moves_keep_the_sum():
+    for m in (2, 3, 4, 5, 7):
+        reach, moves = ensemble._shifts(m)
+        assert moves[0] == (0,) * m and reach >= 1
+        assert all(sum(x) == 0 and max(map(abs, x)) <= reach for x in moves)
+
+
+def test_weights_of_one_member(spark):
+    df = spark.createDataFrame([("s", "val", 1.0, 2.0)], "series_id string, split string, y double, a double")
+    assert list(ensemble.search_weights(df, ("a",)).first().weights) == [1.0]
+    with pytest.raises(ValueError):
+        ensemble.search_weights(df, ())
+
+
 def test_seasonal_blend_formula_and_fit(grid):
     frame_ = windows.forecast_frame(grid, CFG)
     one = ensemble.seasonal_blend(frame_, pred="naive_dual").first()
