@@ -84,23 +84,32 @@ def value_bin(x: Column) -> Column:
 
 def value_rank(df: DataFrame, value: str, keys: Sequence[str] = ("series_id",),
                out: str = "rank0", total: str = "n") -> DataFrame:
-    """Zero-based position in ascending value order per key, and the key's row count.
+    """(keys, value, rank, n): the values of each key in ascending order, numbered from 0.
 
-    Rows are numbered inside value bins; the counts of lower bins give the offset.
-    Rows with equal values get consecutive numbers in no fixed order.
+    Equal values are counted first and only repeated at the end, so a value that makes up
+    most of a key costs one row on the way. Distinct values are ordered inside bins; the
+    counts of lower bins give the offset.
     """
     keys = list(keys)
-    binned = df.withColumn("_bin", value_bin(F.col(value)))
-    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_rows"))
+    tallies = (
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_bin", value_bin(F.col(value)))
+    )
+    bins = tallies.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_rows"))
     lower = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    offsets = bins.select(
         *keys, "_bin", F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(Window.partitionBy(*keys)).alias(total))
     inside = Window.partitionBy(*keys, "_bin").orderBy(value)
+    first = F.sum("_c").over(inside) - F.col("_c") + F.col("_offset")
+    # Two steps keep the arrays short however often a value occurs.
+    pieces = tallies.join(offsets, [*keys, "_bin"]).select(
+        *keys, value, total, "_c", first.alias("_first")).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_c") - 1) / 4096))))
+    low = F.col("_piece") * 4096
     return (
-        binned.join(offsets, [*keys, "_bin"])
-        .withColumn(out, F.row_number().over(inside) - 1 + F.col("_offset"))
-        .drop("_bin", "_offset")
+        pieces.withColumn("_k", F.explode(F.sequence(low, F.least(low + 4095, F.col("_c") - 1))))
+        .select(*keys, value, (F.col("_first") + F.col("_k")).alias(out), total)
     )
 
 

@@ -163,12 +163,11 @@ def ljung_box(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,
     """Q statistic and p-value at each (even) number of lags."""
     acf = autocorrelation(df, resid, tuple(range(1, max(at) + 1)), keys, pos, eps=0.0)
     n = F.col("n")
-    out = []
-    for m in at:
-        q = n * (n + 2) * sum((F.col(f"acf_{k}") * F.col(f"acf_{k}") / (n - k)
-                               for k in range(1, m + 1)), F.lit(0.0))
-        out += [q.alias(f"lb_{m}"), stats.chi2_tail_even(q, m).alias(f"lb_p_{m}")]
-    return acf.select(*keys, "n", *out)
+    q = {f"lb_{m}": n * (n + 2) * sum((F.col(f"acf_{k}") * F.col(f"acf_{k}") / (n - k)
+                                       for k in range(1, m + 1)), F.lit(0.0)) for m in at}
+    # The p-value mentions the statistic many times, so it refers to a finished column.
+    return acf.select(*keys, "n", *[c.alias(name) for name, c in q.items()]).withColumns(
+        {f"lb_p_{m}": stats.chi2_tail_even(F.col(f"lb_{m}"), m) for m in at})
 
 
 def jarque_bera(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES) -> DataFrame:
@@ -354,8 +353,8 @@ def qq_points(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES)
     edge = F.pow(F.lit(0.5), 1.0 / n)
     share = (F.when(i == F.col("n"), edge).when(i == 1, 1.0 - edge)
              .otherwise((i - 0.3175) / (n + 0.365)))
-    return ranked.select(*keys, F.col("rank0"), stats.normal_quantile(share).alias("theoretical"),
-                         F.col(resid).alias("ordered"))
+    return ranked.select(*keys, "rank0", share.alias("_p"), F.col(resid).alias("ordered")).select(
+        *keys, "rank0", stats.normal_quantile(F.col("_p")).alias("theoretical"), "ordered")
 
 
 def residual_tests(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,

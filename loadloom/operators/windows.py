@@ -51,6 +51,14 @@ def sliding_windows(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
     )
 
 
+def pick_channels(windows: DataFrame, channels: Sequence[str], chosen: Sequence[str],
+                  out: str = "covariates", column: str = "x") -> DataFrame:
+    """Add the chosen channels of a window array as an array of their own."""
+    at = [list(channels).index(c) for c in chosen]
+    return windows.withColumn(out, F.transform(
+        F.col(column), lambda step: F.array(*[step[i] for i in at])))
+
+
 def window_counts(df: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Origins per series and split."""
     return (

@@ -385,6 +385,12 @@ d AS (SELECT *, count(*) OVER h AS steps, first_value(load) OVER h AS first, max
              h AS (PARTITION BY series_id, split ORDER BY ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
 SELECT series_id, ts AS origin_ts, CAST(96 AS INTEGER) AS width, {rr('first')},
   {r('greatest(tl, tn::DOUBLE)')} AS top FROM d WHERE steps = 48 AND y_last IS NOT NULL"""
+ORACLES["window_covariates"] = f"""
+WITH {grid('event_type')},
+d AS (SELECT *, lag(n_obs, 47) OVER w AS fo, lead(load, 24) OVER w AS y_last FROM g
+      WINDOW w AS (PARTITION BY series_id, split ORDER BY ts))
+SELECT series_id, ts AS origin_ts, CAST(48 AS INTEGER) AS steps, hour(ts)::DOUBLE AS last_hour,
+  n_obs::DOUBLE AS last_obs, fo::DOUBLE AS first_obs FROM d WHERE fo IS NOT NULL AND y_last IS NOT NULL"""
 ORACLES["targets"] = f"""
 WITH {frame('event_type')} SELECT series_id, split, ts, h, origin_idx, {r('y')} AS y FROM f"""
 ORACLES["seasonal_naive"] = f"""

@@ -294,6 +294,19 @@ def sliding_windows(spark, sf):
         F.col("y")[0].alias("y_first"), F.col("y")[CFG.horizon - 1].alias("y_last")))
 
 
+@query
+def window_covariates(spark, sf):
+    """Two-part model input: the load series next to chosen channels of the same window."""
+    rows = with_split(by_type(spark, sf)).withColumn("hour", F.hour("ts"))
+    channels = ("load", "n_obs", "hour")
+    made = windows.pick_channels(windows.sliding_windows(rows, CFG, channels, "load"), channels,
+                                 ("hour", "n_obs"))
+    last = F.col("covariates")[CFG.history - 1]
+    return shown(made.select(
+        "series_id", "origin_ts", F.size("covariates").alias("steps"), last[0].alias("last_hour"),
+        last[1].alias("last_obs"), F.col("covariates")[0][1].alias("first_obs")))
+
+
 @query
 def targets(spark, sf):
     frame = windows.forecast_frame(with_split(by_type(spark, sf)), CFG)

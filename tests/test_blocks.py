@@ -46,6 +46,14 @@ def test_value_rank_numbers_every_row(rows):
         assert set(part["n"]) == {len(part)}
 
 
+def test_value_rank_with_a_dominant_value(spark):
+    df = spark.range(20_000).select(F.lit("s").alias("series_id"), F.when(
+        F.col("id") % 3 == 0, F.col("id").cast("double")).otherwise(0.0).alias("v"))
+    got = value_rank(df, "v").toPandas().sort_values("rank0")
+    assert list(got["rank0"]) == list(range(20_000))
+    assert got["v"].is_monotonic_increasing and (got["v"] == 0).sum() == 13_333 + 1
+
+
 def test_exact_quantiles_match_numpy_with_heavy_ties(spark):
     rng = np.random.default_rng(3)
     values = {"zeros": np.r_[np.zeros(400), rng.exponential(50, 100)],

@@ -136,6 +136,13 @@ def test_patches_and_instance_norm(grid, hourly):
     assert first.normed == pytest.approx((load[47] - load[:48].mean()) / (load[:48].std() + 1e-6))
 
 
+def test_picked_channels(grid):
+    made = windows.sliding_windows(grid, CFG, ("load", "temperature", "pos"), "load")
+    row = windows.pick_channels(made, ("load", "temperature", "pos"), ("pos", "load")).first()
+    assert len(row.covariates) == 48
+    assert row.covariates[5] == [row.x[5][2], row.x[5][0]]
+
+
 def test_latest_window_and_its_checks(grid, hourly):
     rows = windows.latest_window(grid, 48, ("load", "temperature")).toPandas()
     tail = hourly[hourly["series_id"] == "b"].tail(48)
