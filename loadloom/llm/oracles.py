@@ -39,3 +39,32 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+_TERMS = "length(list_filter({0}, lambda t: regexp_matches(s, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
+ORACLES["op7_url_vocabulary"] = f"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (
+  SELECT *, host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s,
+    CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1')
+           THEN 'example.org/en/1'
+         WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/')
+           THEN 'example.org/es/'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+    END AS rule FROM h),
+n AS (
+  SELECT *, CAST({_TERMS.format("['casino','casinos','porn','porno','xxx','viagra','cialis','escort','escorts','spam','warez','hentai']")} AS BIGINT) AS n_strict,
+         CAST({_TERMS.format("['adult','ads','bet','bets','betting','cheap','free','loan','loans','pill','pills','poker','prize','sex','sexy','slots','track','tracker','win','winner','x']")} AS BIGINT) AS n_soft
+  FROM r)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
+FROM n
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import mixing, quality, urls
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,17 @@ def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, folder, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "fail_bits")
+
+
+@query
+def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target",
+                                   (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op7_url_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return urls.judge(table(spark, folder, "pages"))
