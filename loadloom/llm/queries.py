@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, urls
+from . import mixing, quality, simhash, urls
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,9 @@ def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op7_url_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     return urls.judge(table(spark, folder, "pages"))
+
+
+@query
+def op10_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
