@@ -125,7 +125,7 @@ def candidate_keys(fps: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    return np.bitwise_count(x.view(np.uint64))
 
 
 class _Forest:
