@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, simhash, toxicity, urls
+from ..session import scratch_path
+from . import idstore, mixing, packing, quality, simhash, tokens, toxicity, urls
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,17 @@ def op1_toxic_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op2_elias_fano_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as token ids in binary shards, read back."""
+    path = scratch_path(spark, "ids")
+    return idstore.read_documents(idstore.write_ids(
+        table(spark, folder, "documents"), path, tokens.vocabulary("byte_bpe_50k.json"), end_id=2))
+
+
+@query
+def op9_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in sequences of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"), tokens.vocabulary("word_bpe_49k.json"), end_id=0)
