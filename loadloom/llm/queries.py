@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import idstore, mixing, packing, quality, simhash, tokens, toxicity, urls
+from . import idstore, mixing, packing, quality, simhash, tokens, toxicity, urls, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,10 @@ def op2_elias_fano_ids(spark: SparkSession, folder: str) -> DataFrame:
 def op9_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in sequences of 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"), tokens.vocabulary("word_bpe_49k.json"), end_id=0)
+
+
+@query
+def op3_zstd_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as WARC records, read back from the archives."""
+    archives = warc.write_archives(table(spark, folder, "pages"), scratch_path(spark, "warc"))
+    return warc.read_archives(archives, payloads=False).drop("url", "html")
