@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import idstore, mixing, packing, quality, simhash, tokens, toxicity, urls, warc
+from . import ctw, idstore, mixing, packing, quality, simhash, tokens, topk, toxicity, urls, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,16 @@ def op3_zstd_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as WARC records, read back from the archives."""
     archives = warc.write_archives(table(spark, folder, "pages"), scratch_path(spark, "warc"))
     return warc.read_archives(archives, payloads=False).drop("url", "html")
+
+
+@query
+def op4_block_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten best rows for every vector whose id is divisible by 100."""
+    vectors = topk.integers(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query
+def op6_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram and context-tree scores of every document."""
+    return ctw.language_model(table(spark, folder, "documents"))
