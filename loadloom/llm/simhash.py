@@ -19,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..session import cut_lineage
 from . import text as T
 from .components import components
 
@@ -52,17 +54,19 @@ def fingerprint(data: bytes) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep_row: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; beside all columns with ``keep_row``."""
     def run(batches):
         for batch in batches:
             for part in T.slices(batch, "text"):
                 fps = np.array([fingerprint(t) for t in T.raw_texts(part.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))],
-                    ["doc_id", "fp"])
+                kept = part.columns if keep_row else [part.column("doc_id").cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    docs = docs.drop("fp") if keep_row else docs.select("doc_id", "text")
+    schema = StructType([*docs.schema.fields, StructField("fp", LongType())]) if keep_row else "doc_id long, fp long"
+    names = [*docs.columns, "fp"] if keep_row else ["doc_id", "fp"]
+    return docs.mapInArrow(run, schema)
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,28 +225,35 @@ def _edges(pairs: list) -> pa.RecordBatch:
         [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
-    from ..session import cut_lineage
-
-    prints = cut_lineage(fingerprints(docs))
+def grouped(prints: DataFrame) -> DataFrame:
+    """(fp, root) of every fingerprint; root is the smallest id of its component, or a number
+    from ``NAMELESS`` on where no row of it has an id."""
     nameless = F.lit(NAMELESS) + F.col("fp").bitwiseAND(F.lit((1 << 58) - 1))
     fps = prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nameless).alias("rep"))
     roots = components(links(fps))
-    named = fps.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
-    return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(roots, F.col("rep") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "rep").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row. Copies share a fingerprint, and
+    adaptive execution splits a fingerprint that many rows share."""
+    prints = cut_lineage(fingerprints(docs))
+    return prints.join(grouped(prints), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component: one of each group stays.
+    """One document of each component, with its own columns: the one with the smallest id.
 
-    Rows that repeat the kept id are reduced to one; a row without id stays only where its
-    group has no id at all.
+    Rows that repeat the kept id are reduced to one. A row without id stays only where no
+    row of its component has an id.
     """
-    groups = near_duplicates(docs)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named
+    prints = cut_lineage(fingerprints(docs))
+    groups = cut_lineage(grouped(prints))
+    keep = prints.join(groups, "fp").filter("doc_id = root").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    bare = fingerprints(docs.filter(F.col("doc_id").isNull()), keep_row=True).join(
+        groups.filter(F.col("root") >= NAMELESS), "fp").dropDuplicates(["root"])
+    return named.unionByName(bare.select(*docs.columns))
