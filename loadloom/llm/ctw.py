@@ -220,7 +220,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         product *= x + i
     y = x + 8
     return ((y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y ** 3)
-            + 1 / (1260 * y ** 5) - np.log(np.minimum(product, 1e300)) if x.max(initial=0) < 1e30 else x)
+            + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7) - np.log(product))
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:

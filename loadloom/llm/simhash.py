@@ -55,7 +55,7 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, keep_row: bool = False) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; beside all columns with ``keep_row``."""
+    """(doc_id, fp): the fingerprint as a signed long; ``keep_row``: all columns and ``__fp``."""
     def run(batches):
         for batch in batches:
             for part in T.slices(batch, "text"):
@@ -63,9 +63,9 @@ def fingerprints(docs: DataFrame, keep_row: bool = False) -> DataFrame:
                 kept = part.columns if keep_row else [part.column("doc_id").cast(pa.int64())]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names)
 
-    docs = docs.drop("fp") if keep_row else docs.select("doc_id", "text")
-    schema = StructType([*docs.schema.fields, StructField("fp", LongType())]) if keep_row else "doc_id long, fp long"
-    names = [*docs.columns, "fp"] if keep_row else ["doc_id", "fp"]
+    docs = docs if keep_row else docs.select("doc_id", "text")
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())]) if keep_row else "doc_id long, fp long"
+    names = [*docs.columns, "__fp"] if keep_row else ["doc_id", "fp"]
     return docs.mapInArrow(run, schema)
 
 
@@ -254,6 +254,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     groups = cut_lineage(grouped(prints))
     keep = prints.join(groups, "fp").filter("doc_id = root").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    nameless = groups.filter(F.col("root") >= NAMELESS).select(
+        F.col("fp").alias("__fp"), F.col("root").alias("__root"))
     bare = fingerprints(docs.filter(F.col("doc_id").isNull()), keep_row=True).join(
-        groups.filter(F.col("root") >= NAMELESS), "fp").dropDuplicates(["root"])
+        nameless, "__fp").dropDuplicates(["__root"])
     return named.unionByName(bare.select(*docs.columns))
