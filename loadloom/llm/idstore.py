@@ -159,12 +159,11 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> Dat
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end, writer, shard = np.array([end_id], "<u4"), None, TaskContext.get().partitionId()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for doc_id, data in tokens.encoded(batch, encoder):
                 if writer is None:
                     path, stream = files.create(folder, f"shard-{shard:06d}", ".ids")
                     writer = ShardWriter(stream, width)
-                ids = np.frombuffer(encoder.encode(text.as_py() or ""), "<u4")
-                writer.add(doc_id, np.concatenate([ids, end]))
+                writer.add(doc_id, np.concatenate([np.frombuffer(data, "<u4"), end]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{

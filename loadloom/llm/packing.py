@@ -118,8 +118,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int = SIZE) -> D
         encoder, end = tokens.encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encoder.encode(text.as_py() or "") + end
+            for doc_id, ids in tokens.encoded(batch, encoder):
+                ids += end
                 for k, at in enumerate(range(0, len(ids) // 4, size)):
                     part = ids[4 * at:4 * (at + size)]
                     rows.append((doc_id, k, at, len(part) // 4, zlib.crc32(part)))
