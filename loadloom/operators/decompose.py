@@ -8,8 +8,8 @@ from .blocks import Blocks
 
 
 def seasonal_decompose(df: DataFrame, value: str = "load", period: int = 24,
-                       max_rows: int | None = 24 * 365) -> DataFrame:
-    """trend, seasonal, resid per row of the first ``max_rows`` hours.
+                       max_rows: int | None = None) -> DataFrame:
+    """trend, seasonal, resid per row; of all hours, or the first ``max_rows``.
 
     The trend is the centred moving average over period + 1 rows with half weights at
     the ends, NULL where the frame is cut; the seasonal part is the mean detrended value

@@ -1,16 +1,15 @@
 """Blends of several forecasts, with weights picked on the validation rows.
 
-Candidate weights are literals or a short array per series; each round of the search is
-one aggregation with a column per candidate, combined inside the tasks. Nothing is
-multiplied by the number of candidates and no candidate costs a job of its own.
+A pass of the search is one aggregation that leaves a few sums per series. Candidates of
+the seasonal blend are columns of one aggregation, combined inside the tasks.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -34,88 +33,113 @@ def weighted_by_series(frame: DataFrame, weights: DataFrame, members: Sequence[s
             .withColumn(out, mix).drop("weights"))
 
 
-def _lattice(members: int, limit: int = 200) -> list[tuple[float, ...]]:
-    """All weight vectors with steps of 1/s, with the largest s ≤ 10 within the limit."""
-    steps = next(s for s in range(10, 0, -1)
-                 if math.comb(s + members - 1, members - 1) <= limit or s == 1)
-    cuts = itertools.combinations(range(steps + members - 1), members - 1)
-    out = []
-    for cut in cuts:
-        edges = (-1, *cut, steps + members - 1)
-        out.append(tuple((b - a - 1) / steps for a, b in zip(edges, edges[1:])))
-    return out
-
-
-def _shifts(members: int, limit: int = 100) -> tuple[int, list[tuple[int, ...]]]:
-    """(r, moves): weight moves in whole steps, at most r per member, that keep the sum."""
-    if members <= 5:
-        for r in (4, 3, 2):
-            moves = [m for m in itertools.product(range(-r, r + 1), repeat=members) if not sum(m)]
-            if len(moves) <= limit:
-                return r, sorted(moves, key=lambda m: sum(map(abs, m)))
-    pairs = [tuple((k == i) - (k == j) for k in range(members))
-             for i, j in itertools.permutations(range(members), 2)]
-    return 1, [(0,) * members, *pairs]
-
-
-def _mae(error: str, members: Sequence[str], factors: Sequence[float], name: str) -> Column:
-    """Mean absolute value of an error after taking off fixed multiples of the members."""
-    mix = " + ".join(f"{k!r}D * {m}" for k, m in zip(factors, members) if k) or "0D"
-    return F.expr(f"avg(abs({error} - ({mix})))").alias(name)
-
-
-def _pick(scored: DataFrame, weights: Sequence[Sequence[str]], valid: Sequence[str]) -> DataFrame:
-    """(series_id, w0, w1, …, mae) of the lowest MAE, the earlier candidate on a tie."""
-    options = ", ".join(
-        f"if({ok}, named_struct('mae', _c{i}, 'i', {i}, 'w', array({', '.join(w)})), NULL)"
-        for i, (w, ok) in enumerate(zip(weights, valid)))
-    return scored.select("series_id", F.expr(f"array_min(array({options}))").alias("b")).select(
-        "series_id", *[F.col("b.w")[i].alias(f"w{i}") for i in range(len(weights[0]))],
-        F.col("b.mae").alias("mae"))
+def side_by_side(long: DataFrame, members: Sequence[str]) -> DataFrame:
+    """Long predictions with one column per member; only cells that every member has.
+
+    The truth is no key: models that scale it back may differ in its last digits.
+    """
+    keys = [c for c in long.columns if c not in ("model", "y_pred", "y")]
+    cells = [F.max("y").alias("y")] + [F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(m) for m in members]
+    wide = long.where(F.col("model").isin(list(members))).groupBy(*keys).agg(*cells)
+    return wide.dropna(subset=list(members))
+
+
+def _simplex_minimum(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Weights w >= 0 with sum 1 that minimise w'Gw - 2 c'w, by an active set."""
+    k = len(cross)
+    ridge = 1e-10 * max(float(np.trace(gram)), 1e-300) / k
+    free = np.ones(k, bool)
+    for _ in range(4 * k):
+        idx = np.flatnonzero(free)
+        n = len(idx)
+        system = np.ones((n + 1, n + 1))
+        system[:n, :n] = gram[np.ix_(idx, idx)] + ridge * np.eye(n)
+        system[n, n] = 0.0
+        solved = np.linalg.lstsq(system, np.append(cross[idx], 1.0), rcond=None)[0]
+        if solved[:n].min() < -1e-12 and n > 1:
+            free[idx[int(np.argmin(solved[:n]))]] = False
+            continue
+        w = np.zeros(k)
+        w[idx] = solved[:n]
+        slack = gram @ w - cross + solved[n]
+        worst = int(np.argmin(np.where(free, np.inf, slack)))
+        if free.all() or slack[worst] >= -1e-9 * (1 + np.abs(cross).max()):
+            break
+        free[worst] = True
+    w = np.maximum(w if n else np.ones(k), 0.0)
+    return w / w.sum()
+
+
+def _step(members: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Next weights of every series from the sums of a pass; a few numbers per series."""
+    k = len(members)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                now, best, low = np.array(row.weights), np.array(row.best), row.best_mae
+                gain = 0.0
+                if low is None or np.isnan(low) or row.mae < low:
+                    gain = np.inf if low is None or np.isnan(low) else (low - row.mae) / max(low, 1e-300)
+                    best, low = now, row.mae
+                gram, sums = np.zeros((k, k)), np.array(row.sums)
+                for (i, j), x in zip(pairs, sums):
+                    gram[i, j] = gram[j, i] = x
+                cross = sums[len(pairs):]
+                new = _simplex_minimum(gram, cross) if np.isfinite(sums).all() and gram.any() else now
+                out.append((row.series_id, new.tolist(), best.tolist(), float(low), float(low), float(gain)))
+            yield pd.DataFrame(out, columns=["series_id", "weights", "best", "best_mae", "scale", "gain"])
+
+    return run
 
 
 def search_weights(frame: DataFrame, members: Sequence[str], y: str = "y", split: str = "val",
-                   precision: float = 0.004) -> DataFrame:
+                   tolerance: float = 5e-4, most_passes: int = 40) -> DataFrame:
     """(series_id, weights, mae): member weights that minimise the validation MAE.
 
-    A lattice over the simplex first, then finer moves around the best point of each
-    series, until a step is at most ``precision``: three passes for three members. The
-    error is convex in the weights, so the neighbourhood of the best point is enough. At
-    the end every weight is at least 0.001 and they sum to 1.
+    Iteratively reweighted least squares: a pass sums, per series, the members' cross
+    products weighted by 1 / |error| and solves a small problem on the simplex; the same
+    steps serve any number of members. The floor under |error| falls from pass to pass, and the search
+    ends when it is low and no series gains more than ``tolerance``. The best weights met are
+    kept. A pass is one aggregation, written to the checkpoint folder: this function runs
+    jobs. At the end every weight is at least 0.001 and they sum to 1.
     """
-    m = len(members)
-    if not m:
+    k = len(members)
+    if not k:
         raise ValueError("an ensemble needs at least one member")
     rows = cut_lineage(frame.where(F.col("split") == split).select("series_id", y, *members))
-
-    points = _lattice(m)
-    scored = rows.groupBy("series_id").agg(*[
-        _mae(y, members, w, f"_c{i}") for i, w in enumerate(points)])
-    best = _pick(scored, [[f"{w!r}D" for w in point] for point in points],
-                 ["true"] * len(points))
-    reach, moves = _shifts(m)
-    step = min(w for point in points for w in point if w > 0)
-    names = [f"w{i}" for i in range(m)]
-    now = " + ".join(f"{w} * {c}" for w, c in zip(names, members))
-    while m > 1 and step > precision:
-        step /= reach + 1
-        # A move changes the error of the current weights by fixed multiples of the
-        # members. The weights are constant per series; as keys they keep the
-        # aggregation hashed.
-        scored = (
-            rows.join(best.drop("mae"), "series_id").withColumn("_e", F.expr(f"{y} - ({now})"))
-            .groupBy("series_id", *names)
-            .agg(*[_mae("_e", members, [k * step for k in move], f"_c{i}")
-                   for i, move in enumerate(moves)]))
-        moved = [[f"greatest(0D, {w} + {k * step!r}D)" for w, k in zip(names, move)]
-                 for move in moves]
-        inside = [" and ".join(f"{w} + {k * step!r}D > -1e-9D" for w, k in zip(names, move))
-                  for move in moves]
-        best = _pick(scored, moved, inside)
-    floored = F.array(*[F.greatest(F.col(w), F.lit(MIN_WEIGHT)) for w in names])
+    equal = F.array(*[F.lit(1.0 / k)] * k)
+    state = rows.select("series_id").distinct().select(
+        "series_id", equal.alias("weights"), equal.alias("best"),
+        F.lit(None).cast("double").alias("best_mae"), F.lit(None).cast("double").alias("scale"))
+    schema = ("series_id {}, weights array<double>, best array<double>, best_mae double, "
+              "scale double, gain double").format(rows.schema["series_id"].dataType.simpleString())
+    now = sum((F.col("weights")[i] * F.col(m) for i, m in enumerate(members)), F.lit(0.0))
+    floor = 1.0
+    for step in range(most_passes):
+        # Weights and scale are constant per series; as keys they need no second join.
+        mixed = rows.join(state.drop("gain"), "series_id").withColumn("_e", F.abs(F.col(y) - now))
+        pull = 1.0 / F.greatest(F.col("_e"), F.greatest(
+            F.coalesce("scale", F.lit(1.0)) * floor, F.lit(1e-300)))
+        mixed = mixed.withColumn("_p", pull if step else F.lit(1.0))
+        cells = [F.sum(F.col("_p") * F.col(a) * F.col(b))
+                 for i, a in enumerate(members) for b in members[:i + 1]]
+        cells += [F.sum(F.col("_p") * F.col(y) * F.col(m)) for m in members]
+        sums = mixed.groupBy("series_id", "weights", "best", "best_mae").agg(
+            F.avg("_e").alias("mae"), *[c.alias(f"_s{i}") for i, c in enumerate(cells)])
+        sums = sums.select("series_id", "weights", "best", "best_mae", "mae", F.array(
+            *[F.col(f"_s{i}") for i in range(len(cells))]).alias("sums"))
+        state = cut_lineage(sums.mapInPandas(_step(members), schema))
+        gain = state.agg(F.max("gain")).first()[0]
+        if k == 1 or gain is None or (step >= 3 and floor <= 1e-3 and gain <= tolerance):
+            break
+        floor = max(1e-4, floor / 4)
+    floored = F.transform("best", lambda w: F.greatest(w, F.lit(MIN_WEIGHT)))
     total = F.aggregate(floored, F.lit(0.0), lambda a, w: a + w)
-    return best.select("series_id", F.transform(floored, lambda w: w / total).alias("weights"),
-                       "mae")
+    return state.select("series_id", F.transform(floored, lambda w: w / total).alias("weights"),
+                        F.col("best_mae").alias("mae"))
 
 
 def weight_map(weights: DataFrame, members: Sequence[str]) -> DataFrame:

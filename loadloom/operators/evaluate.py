@@ -45,12 +45,14 @@ def subtract_bias(df: DataFrame, bias: DataFrame, keys: Sequence[str] = BY_MODEL
 def evaluate_models(df: DataFrame, horizon: int, order: str = "time") -> DataFrame:
     """Scores, residual diagnostics and the composite per (series, model).
 
-    ``order="time"`` takes the one-step residuals, so lag 24 is a day. ``"flat"`` reads
+    ``order="time"`` takes the residuals of each model's shortest step, so lag 24 is a day. ``"flat"`` reads
     all residuals in (origin, h) order, where lag 24 is the same h one origin later.
     """
     resid = df.withColumn("resid", F.col("y") - F.col("y_pred"))
     if order == "time":
-        resid = resid.where(F.col("h") == 1).withColumn("pos", F.col("origin_idx"))
+        nearest = resid.groupBy(*BY_MODEL).agg(F.min("h").alias("_first"))
+        resid = resid.join(nearest, list(BY_MODEL)).where(F.col("h") == F.col("_first")).withColumn(
+            "pos", F.col("origin_idx"))
     elif order == "flat":
         resid = resid.withColumn("pos", flat_position(horizon))
     else:
@@ -127,6 +129,5 @@ def prediction_spread(df: DataFrame, sample: str = "model",
 def error_histogram(df: DataFrame, bins: int = 60) -> DataFrame:
     """Equal-width histogram of the errors per (series, model)."""
     from .profile import histogram
-    named = df.select(F.concat_ws("|", *BY_MODEL).alias("series_id"),
-                      (F.col("y") - F.col("y_pred")).alias("err"))
-    return histogram(named, "err", bins)
+    errors = df.withColumn("err", F.col("y") - F.col("y_pred")).select(*BY_MODEL, "err")
+    return histogram(errors, "err", bins, keys=BY_MODEL)

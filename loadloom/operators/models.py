@@ -10,16 +10,18 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CHANNELS, ForecastConfig, TreeConfig
 from .features import feature_table, unscale
-from .windows import lag_feature_names, lag_features
+from .windows import check_latest, lag_feature_names, lag_features
 
 KINDS = ("ridge", "gbt")
 
@@ -64,17 +66,19 @@ def fit_ridge(table: DataFrame, cfg: ForecastConfig, names: Sequence[str], alpha
 
     MLlib divides the loss by n and scales the label by its standard deviation; the
     penalty below undoes both, so ``alpha`` is the textbook one (Σ r² + α‖w‖²).
-    Features that do not vary are left out first: they get weight 0 anyway, but make
-    the normal equations singular.
+    Features whose train values are the same to nine digits are left out first, whatever
+    their unit: they get weight 0 anyway, but make the normal equations singular.
     """
     steps = _horizons(cfg, horizons)
     assembler = VectorAssembler(inputCols=list(names), outputCol="all_features")
-    selector = VarianceThresholdSelector(featuresCol="all_features", outputCol="features",
-                                         varianceThreshold=1e-12)
     labels = [F.col("y")[h - 1].alias(f"label_{h}") for h in steps]
     raw = assembler.transform(table.where(F.col("split") == "train")).select("all_features", *labels)
     with held(raw):
-        chosen = selector.fit(raw)
+        ends = raw.select(Summarizer.metrics("max", "min").summary(F.col("all_features")).alias("s")).select(
+            "s.max", "s.min").first()
+        high, low = ends["max"].toArray(), ends["min"].toArray()
+        varied = np.flatnonzero(high - low > 1e-9 * np.maximum(np.abs(high), np.abs(low))).tolist()
+        chosen = VectorSlicer(inputCol="all_features", outputCol="features", indices=varied or [0])
         train = chosen.transform(raw).select("features", *[f"label_{h}" for h in steps])
         spread = train.agg(F.count(F.lit(1)).alias("n"),
                            *[F.stddev_pop(f"label_{h}").alias(f"s_{h}") for h in steps]).first()
@@ -93,7 +97,7 @@ def fit_ridge(table: DataFrame, cfg: ForecastConfig, names: Sequence[str], alpha
 def fit_gbt(table: DataFrame, cfg: ForecastConfig, names: Sequence[str],
             trees: TreeConfig = TreeConfig(), horizons: Sequence[int] | None = None
             ) -> PipelineModel:
-    """Boosted trees per step ahead; validation rows stop the boosting early."""
+    """Boosted trees per step ahead; boosting stops where the validation error stops falling."""
     steps = _horizons(cfg, horizons)
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     labels = [F.col("y")[h - 1].alias(f"label_{h}") for h in steps]
@@ -106,6 +110,7 @@ def fit_gbt(table: DataFrame, cfg: ForecastConfig, names: Sequence[str],
                 maxIter=trees.rounds, maxDepth=trees.depth, stepSize=trees.rate,
                 subsamplingRate=trees.subsample, minInstancesPerNode=trees.min_child,
                 featureSubsetStrategy=str(trees.colsample), validationIndicatorCol="is_val",
+                validationTol=0.0,
                 seed=42).fit(data)
 
         fitted = _side_by_side(fit, steps)
@@ -160,14 +165,25 @@ def latest_table(df: DataFrame, cfg: ForecastConfig, params: DataFrame,
 
 
 def score_latest(bundle: dict, df: DataFrame, value: str = "load") -> DataFrame:
-    """Forecast every series from its last complete window with an exported bundle."""
+    """Forecast every series from its last complete window with an exported bundle.
+
+    A missing channel or a series shorter than the history is a ValueError, found by a job
+    before the plan is built. A stored bias of the validation rows is taken off.
+    """
     for part in ("model", "scaler", "config"):
         if part not in bundle:
             raise KeyError(f"bundle lacks {part!r}")
     config = bundle["config"]
     cfg = ForecastConfig(history=int(config["history"]), horizon=int(config["horizon"]))
+    check_latest(df, cfg.history, ())
     table = latest_table(df, cfg, bundle["scaler"], tuple(config["channels"]), value)
-    return predict_long(bundle["model"], table, config["model_name"], with_truth=False)
+    rows = predict_long(bundle["model"], table, config["model_name"], with_truth=False)
+    bias = bundle.get("bias")
+    if bias is None:
+        return rows
+    shift = bias.select("series_id", "bias")
+    return rows.join(shift, "series_id", "left").withColumn(
+        "y_pred", F.col("y_pred") - F.coalesce("bias", F.lit(0.0))).drop("bias")
 
 
 def feature_names(cfg: ForecastConfig, channels: Sequence[str] = CHANNELS) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import adjusted_kurtosis, adjusted_skew
@@ -48,10 +50,11 @@ def hour_weekday_pivot(df: DataFrame, value: str = "load", ts: str = "ts") -> Da
     return df.groupBy("series_id", F.hour(ts).alias("hour")).agg(*columns)
 
 
-def _with_range(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    ends = df.groupBy("series_id").agg(F.min(column).alias(f"{prefix}_lo"),
-                                       F.max(column).alias(f"{prefix}_hi"))
-    return df.join(ends, "series_id")
+def _with_range(df: DataFrame, column: str, prefix: str,
+                keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    ends = df.groupBy(*keys).agg(F.min(column).alias(f"{prefix}_lo"),
+                                 F.max(column).alias(f"{prefix}_hi"))
+    return df.join(ends, list(keys))
 
 
 def left_closed_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
@@ -68,18 +71,19 @@ def right_closed_bin(x: Column, low: Column, high: Column, bins: int) -> Column:
         F.least(F.greatest(F.lit(1), F.ceil((x - low) / width)), F.lit(bins))).cast("int")
 
 
-def histogram(df: DataFrame, value: str = "load", bins: int = 60) -> DataFrame:
-    """Counts and density in equal-width bins per series; empty bins are left out."""
+def histogram(df: DataFrame, value: str = "load", bins: int = 60,
+              keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Counts and density in equal-width bins per key; empty bins are left out."""
     x = F.col(value)
-    rows = _with_range(df.where(x.isNotNull()), value, "_x")
+    rows = _with_range(df.where(x.isNotNull()), value, "_x", keys)
     width = (F.col("_x_hi") - F.col("_x_lo")) / bins
-    binned = rows.groupBy("series_id", left_closed_bin(x, F.col("_x_lo"), F.col("_x_hi"), bins)
+    binned = rows.groupBy(*keys, left_closed_bin(x, F.col("_x_lo"), F.col("_x_hi"), bins)
                           .alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.first("_x_lo").alias("_x_lo"),
         F.first(width).alias("_w"))
-    sizes = binned.groupBy("series_id").agg(F.sum("count").alias("_n"))
-    return binned.join(sizes, "series_id").select(
-        "series_id", "bin", (F.col("_x_lo") + F.col("bin") * F.col("_w")).alias("bin_left"),
+    sizes = binned.groupBy(*keys).agg(F.sum("count").alias("_n"))
+    return binned.join(sizes, list(keys)).select(
+        *keys, "bin", (F.col("_x_lo") + F.col("bin") * F.col("_w")).alias("bin_left"),
         "count",
         F.when(F.col("_w") > 0, F.col("count") / (F.col("_n") * F.col("_w"))).alias("density"))
 

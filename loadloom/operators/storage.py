@@ -47,14 +47,15 @@ def _dispatch_step(battery: Battery, cap_to_demand: bool):
 
 
 def dispatch(df: DataFrame, battery: Battery, strategies: Sequence[Strategy] = STRATEGIES,
-             tariff: Tariff = Tariff(), value: str = "load", horizon: int | None = 720,
+             tariff: Tariff = Tariff(), value: str = "load", horizon: int | None = None,
              use_holidays: bool = False, cap_to_demand: bool = False,
              chunk_rows: int = BLOCK_ROWS) -> DataFrame:
     """Hourly battery schedule of every series under every strategy.
 
     Night charges up to the corridor's top, peak discharges down to its bottom. The
     zones follow the rows' own timestamps; ``value`` may be an actual or a forecast.
-    Delivered energy beyond the demand is lost unless ``cap_to_demand``.
+    Delivered energy beyond the demand is lost unless ``cap_to_demand``. All hours take
+    part; ``horizon`` keeps the first ones of a series only.
 
     The state of charge depends on the clock and the corridor, not on the load, so the
     recurrence runs once per distinct starting hour and its result is joined to the

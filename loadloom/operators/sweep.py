@@ -10,7 +10,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row, functions as F
 
 from ..config import CHANNELS, ForecastConfig
+from ..session import cut_lineage
 from ..sources.tables import write_results_csv
+from .ensemble import search_weights, side_by_side, weighted_by_series
 from .evaluate import evaluate_models
 from .models import (KINDS, feature_names, fit_forecaster, held, model_table, predict_long,
                      regressions)
@@ -70,7 +72,11 @@ LONG = ("series_id", "model", "split", "origin_idx", "h", "y", "y_pred")
 def compare_models(df: DataFrame, cfg: ForecastConfig, kinds: Sequence[str] = ("naive", "ridge"),
                    channels: Sequence[str] = CHANNELS, horizons: Sequence[int] | None = None,
                    split: str = "test", params: dict[str, dict] | None = None) -> DataFrame:
-    """All model kinds under equal conditions: one scored row per (series, model)."""
+    """All model kinds under equal conditions: one scored row per (series, model).
+
+    ``"ensemble"`` blends all other models with the weights that validation rows favour; it is
+    scored like the rest. The search runs jobs while the plan is built.
+    """
     parts = []
     if "naive" in kinds:
         parts.append(naive_predictions(df, cfg).select(*LONG))
@@ -85,6 +91,12 @@ def compare_models(df: DataFrame, cfg: ForecastConfig, kinds: Sequence[str] = ("
     rows = reduce(DataFrame.unionByName, parts)
     if horizons:
         rows = rows.where(F.col("h").isin(list(horizons)))
+    if "ensemble" in kinds:
+        members = [*(NAIVES if "naive" in kinds else ()), *fitted]
+        rows = cut_lineage(rows)
+        wide = cut_lineage(side_by_side(rows, members))
+        blend = weighted_by_series(wide, search_weights(wide, members), members)
+        rows = rows.unionByName(blend.withColumn("model", F.lit("ensemble")).select(*LONG))
     return evaluate_models(rows.where(F.col("split") == split), cfg.horizon)
 
 

@@ -539,9 +539,11 @@ SELECT 'single' AS view, series_id, split, ts, h, {rr('y', 'naive_24')} FROM f W
 UNION ALL
 SELECT 'walk', series_id, split, ts, h, {rr('y', 'naive_24')} FROM f WHERE h = 1"""
 ORACLES["error_histogram"] = f"""
+SELECT split_part(series_id, '|', 1) AS series_id, split_part(series_id, '|', 2) AS model,
+       * EXCLUDE (series_id) FROM (
 WITH {long('event_type')},
 e AS (SELECT series_id || '|' || model AS series_id, y - y_pred AS err FROM p WHERE split = 'test'),
-{histogram_sql('e', 'err')}"""
+{histogram_sql('e', 'err')})"""
 ORACLES["ensemble_fixed"] = f"""
 WITH {frame('user_id')},
 e AS (SELECT series_id, y, 0.5::DOUBLE * naive_24 + 0.3::DOUBLE * naive_168 + 0.2::DOUBLE * naive_dual AS y_pred
@@ -564,7 +566,7 @@ SELECT series_id, {rr('w', 'v', 'mae', 'test_mae')} FROM b JOIN t1 USING (series
 
 ORACLES["acf"] = f"""
 WITH {grid('event_type')},
-m AS (SELECT series_id, pos, load - avg(load) OVER (PARTITION BY series_id) AS x FROM g WHERE {first_hours(1440)}),
+m AS (SELECT series_id, pos, load - avg(load) OVER (PARTITION BY series_id) AS x FROM g),
 z AS (SELECT series_id, sum(x * x) AS c0 FROM m GROUP BY series_id),
 d AS (SELECT a.series_id, k, sum(a.x * b.x) AS c FROM m a CROSS JOIN (SELECT unnest(range(0, 201)) AS k) ks
       JOIN m b ON b.series_id = a.series_id AND b.pos = a.pos - k GROUP BY a.series_id, k)
@@ -665,7 +667,7 @@ SELECT series_id, i - 1 AS rank0, {rr('theoretical')}, {r('resid')} AS ordered F
 ORACLES["decomposition"] = f"""
 WITH {grid('event_type')},
 a AS (SELECT *, CASE WHEN count(*) OVER q = 25 THEN (sum(load) OVER q - (lag(load, 12) OVER w
-        + lead(load, 12) OVER w) / 2) / 24 END AS trend FROM g WHERE {first_hours(8760)}
+        + lead(load, 12) OVER w) / 2) / 24 END AS trend FROM g
       WINDOW w AS (PARTITION BY series_id ORDER BY ts),
              q AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
 ph AS (SELECT series_id, pos % 24 AS ph, avg(load - trend) AS raw FROM a GROUP BY series_id, pos % 24),
@@ -718,8 +720,7 @@ def dispatch_sql(series: str) -> str:
     """Recursive CTEs up to ``dp``: the battery schedule."""
     return grid(series) + f""",
 st AS (SELECT * FROM (VALUES {STRATEGY_ROWS}) AS v(ord, strategy, lo, hi)),
-a AS MATERIALIZED (SELECT series_id, ts, pos, load, {ZONE_PLAIN} AS zone, {price(ZONE_PLAIN)} AS price FROM g
-                   WHERE {first_hours(720)}),
+a AS MATERIALIZED (SELECT series_id, ts, pos, load, {ZONE_PLAIN} AS zone, {price(ZONE_PLAIN)} AS price FROM g),
 -- The schedule depends on the clock only: one walk per strategy serves every series.
 clock AS MATERIALIZED (SELECT DISTINCT pos, zone FROM a),
 sc AS (

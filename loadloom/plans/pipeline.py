@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import CHANNELS, Battery, ForecastConfig
 from ..operators import ensemble, evaluate, models, profile, quality, residuals, storage, sweep
-from ..operators.windows import forecast_frame
 from ..sources.bundle import export_bundle, load_bundle
 from ..sources.grid import with_split
 from ..operators.features import scaler_params
@@ -31,7 +30,10 @@ def run_pipeline(hourly: DataFrame, cfg: ForecastConfig, battery: Battery,
         "describe": profile.describe(grid),
         "drift": quality.drift_check(grid),
     }
-    predictions = [sweep.naive_predictions(grid, cfg).select(*sweep.LONG, "n_origins")]
+    steps = list(horizons) if horizons else list(range(1, cfg.horizon + 1))
+    # All models are scored on the same steps ahead.
+    naive = sweep.naive_predictions(grid, cfg).where(F.col("h").isin(steps))
+    predictions = [naive.select(*sweep.LONG, "n_origins")]
     table = models.model_table(grid, cfg, channels)
     names = models.feature_names(cfg, channels)
     with models.held(table):
@@ -45,18 +47,23 @@ def run_pipeline(hourly: DataFrame, cfg: ForecastConfig, battery: Battery,
             if bundle_path:
                 export_bundle(model, scaler_params(grid), {
                     "model_name": kind, "history": cfg.history, "horizon": cfg.horizon,
-                    "channels": list(channels)}, f"{bundle_path}/{kind}")
+                    "channels": list(channels)}, f"{bundle_path}/{kind}", evaluate.fit_bias(rows))
         # Every later stage reads the predictions; they are written once.
         long = cut_lineage(reduce(DataFrame.unionByName, predictions))
+    # The blend of all models is one more model: weights from validation rows, scores on test.
+    members = sorted(kinds) + ["naive_24", "naive_168", "naive_dual"]
+    wide = cut_lineage(ensemble.side_by_side(long, members))
+    weights = ensemble.search_weights(wide, members)
+    blend = ensemble.weighted_by_series(wide, weights, members).withColumn("model", F.lit("ensemble"))
+    long = long.unionByName(blend.select(*long.columns))
     bias = evaluate.fit_bias(long)
     corrected = evaluate.subtract_bias(long, bias)
     test = corrected.where(F.col("split") == "test")
     scored = evaluate.evaluate_models(test, cfg.horizon)
     blocks = evaluate.backtest(corrected, cfg.backtest_windows)
-    resid = (test.where(F.col("h") == 1)
+    resid = (test.where(F.col("h") == min(steps))
              .select("series_id", "model", F.col("origin_idx").alias("pos"),
                      (F.col("y") - F.col("y_pred")).alias("resid")))
-    frame = forecast_frame(grid, cfg)
     out |= {
         "predictions": corrected, "bias": bias,
         "leaderboard": evaluate.leaderboard(scored),
@@ -64,7 +71,7 @@ def run_pipeline(hourly: DataFrame, cfg: ForecastConfig, battery: Battery,
         "regime": evaluate.fit_regime(evaluate.train_val_mae(long)),
         "backtest": blocks, "backtest_summary": evaluate.backtest_summary(blocks),
         "residual_tests": residuals.residual_tests(resid, keys=evaluate.BY_MODEL),
-        "weights": ensemble.search_weights(frame, ["naive_24", "naive_168", "naive_dual"]),
+        "weights": weights,
         "storage": storage.compare_strategies(
             grid.where(F.col("split") == "test").withColumn("pos", F.col("split_pos")), battery),
     }

@@ -15,7 +15,7 @@ from ..functions import scores, weather
 from ..functions.stats import tidy, tidy_small
 from ..operators import (calendar, decompose, ensemble, evaluate, features, models, profile,
                          quality, residuals, scan, storage, sweep, windows)
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import cache, tables
 from ..sources.bundle import export_bundle, load_bundle
 from ..sources.grid import head, hourly_grid, with_positions, with_split
@@ -512,12 +512,12 @@ def seasonal_blend(spark, sf):
 
 @query
 def acf(spark, sf):
-    return shown(residuals.acf_profile(head(by_type(spark, sf), 24 * 60), "load", 200))
+    return shown(residuals.acf_profile(by_type(spark, sf), "load", 200))
 
 
 @query
 def pacf(spark, sf):
-    return shown(residuals.pacf_profile(head(by_type(spark, sf), 24 * 60), "load", 50))
+    return shown(residuals.pacf_profile(by_type(spark, sf), "load", 50))
 
 
 @query
@@ -624,7 +624,7 @@ def ridge(spark, sf):
     table = models.model_table(typed_model_grid(spark, sf), CFG, MODEL_CHANNELS)
     names = models.feature_names(CFG, MODEL_CHANNELS)
     with models.held(table):
-        model = models.fit_ridge(table, CFG, names, horizons=FITTED_HORIZONS)
+        model = models.fit_ridge(table, CFG, names)
     return shown(models.predict_long(model, table.where(F.col("split") == "test"), "ridge"))
 
 
@@ -647,13 +647,13 @@ def ridge_grid_search(spark, sf):
 
 @query
 def model_comparison(spark, sf):
-    return shown(sweep.compare_models(typed_model_grid(spark, sf), CFG, ("naive", "ridge"),
-                                      MODEL_CHANNELS, horizons=FITTED_HORIZONS))
+    return shown(sweep.compare_models(typed_model_grid(spark, sf), CFG,
+                                      ("naive", "ridge", "ensemble"), MODEL_CHANNELS))
 
 
 @query
 def history_sweep(spark, sf):
-    return shown(sweep.history_sweep(typed_model_grid(spark, sf), CFG, (24, 48, 72),
+    return shown(sweep.history_sweep(typed_model_grid(spark, sf), CFG, (24, 48, 72, 96),
                                      kinds=("naive", "ridge"), channels=MODEL_CHANNELS,
                                      horizons=(1, 24)))
 
@@ -664,10 +664,11 @@ def bundle_score(spark, sf):
     table = models.model_table(grid, CFG, MODEL_CHANNELS)
     names = models.feature_names(CFG, MODEL_CHANNELS)
     with models.held(table):
-        model = models.fit_ridge(table, CFG, names, horizons=FITTED_HORIZONS)
+        model = models.fit_ridge(table, CFG, names)
+        bias = cut_lineage(evaluate.fit_bias(models.predict_long(model, table, "ridge")))
     path = export_bundle(model, features.scaler_params(grid), {
         "model_name": "ridge", "history": CFG.history, "horizon": CFG.horizon,
-        "channels": list(MODEL_CHANNELS)}, scratch_path(spark, "bundle"))
+        "channels": list(MODEL_CHANNELS)}, scratch_path(spark, "bundle"), bias)
     return shown(models.score_latest(load_bundle(spark, path), grid))
 
 

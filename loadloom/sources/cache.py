@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .tables import read_hourly_csv, write_hourly_csv
 
@@ -28,7 +28,7 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
 
 def _fits(df: DataFrame, manifest: dict, rows: int | None, start: str | None,
           stored: dict | None, ts: str) -> bool:
-    if stored is not None and stored != manifest:
+    if stored != manifest:
         return False
     facts = df.agg(F.count(F.lit(1)).alias("rows"),
                    F.min(F.col(ts).cast("date")).cast("string").alias("start")).first()
@@ -42,23 +42,32 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
                   ts: str = "timestamp", fmt: str = "parquet") -> DataFrame:
     """Read ``path`` when row count, first date and manifest agree, else rebuild it.
 
-    The manifest lies next to the table; a table without one is checked by rows and
-    start only. The returned table is always read back from storage.
+    The manifest lies next to the table and also holds the built table's schema and, unless
+    ``rows`` is given, its row count; a table without one, or with another, is built
+    again. The returned table is always read back from storage.
     """
     meta = f"{path}.meta.json"
-    read = (lambda: read_hourly_csv(spark, path)) if fmt == "csv" else (
-        lambda: spark.read.parquet(path))
-    if not force:
+
+    def read(schema: dict) -> DataFrame:
+        kind = T.StructType.fromJson(schema)
+        return read_hourly_csv(spark, path, kind) if fmt == "csv" else (
+            spark.read.schema(kind).parquet(path))
+
+    stored = None if force else read_manifest(spark, meta)
+    if stored is not None and {"settings", "schema", "rows"} <= stored.keys():
         try:
-            found = read()
-            if _fits(found, manifest, rows, start, read_manifest(spark, meta), ts):
+            found = read(stored["schema"])
+            if _fits(found, manifest, stored["rows"] if rows is None else rows, start,
+                     stored["settings"], ts):
                 return found
         except AnalysisException:
-            pass  # nothing stored yet
+            pass  # the manifest is there, the table is not
     built = build()
     if fmt == "csv":
         write_hourly_csv(built, path)
     else:
         built.write.mode("overwrite").parquet(path)
-    write_manifest(spark, meta, manifest)
-    return read()
+    schema = json.loads(built.schema.json())
+    write_manifest(spark, meta, {"settings": manifest, "schema": schema,
+                                 "rows": read(schema).count()})
+    return read(schema)

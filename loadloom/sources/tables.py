@@ -25,8 +25,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_hourly_csv(spark: SparkSession, path: str,
                     schema: T.StructType = HOURLY_SCHEMA) -> DataFrame:
-    """Hourly observations from CSV with a header, under an explicit schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Hourly observations from CSV; columns are found by the header's names.
+
+    The files must share one header. Columns beyond the schema are not returned; a
+    missing column is a ValueError, and a cell that does not parse fails the read.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    kinds = {f.name: f.dataType for f in schema}
+    stored = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    rows = spark.read.schema(stored).option("header", True).option("enforceSchema", False).option(
+        "mode", "FAILFAST").csv(path)
+    return rows.select(*[f.name for f in schema])
 
 
 def write_hourly_csv(df: DataFrame, path: str) -> None:
@@ -50,5 +62,5 @@ def write_hourly(df: DataFrame, path: str, partition: str | None = "series_id",
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
-    """A small result table (a sweep, a leaderboard) as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small result table (a sweep, a leaderboard) as one CSV file; only its last step runs in one task."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)

@@ -10,7 +10,7 @@ from loadloom.operators import features, models, sweep, windows
 from loadloom.plans import pipeline
 from loadloom.sources import cache, tables
 from loadloom.sources.bundle import export_bundle, load_bundle
-from loadloom.sources.grid import with_split
+from loadloom.sources.grid import with_positions, with_split
 from loadloom.streaming.rowlocal import enrich_stream, scale_stream
 
 CFG = ForecastConfig(history=48, horizon=24)
@@ -119,6 +119,13 @@ def test_csv_round_trip(spark, hourly, tmp_path):
     back = tables.read_hourly_csv(spark, str(tmp_path / "csv"))
     assert back.dtypes[1] == ("timestamp", "timestamp_ntz")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    other = [df.columns[2], *df.columns[:2], "extra", *df.columns[3:]]
+    tables.write_hourly_csv(df.withColumn("extra", F.lit("x")).select(other), str(tmp_path / "moved"))
+    moved = tables.read_hourly_csv(spark, str(tmp_path / "moved"))
+    assert moved.columns == back.columns and sorted(map(tuple, moved.collect())) == sorted(map(tuple, df.collect()))
+    tables.write_hourly_csv(df.drop("humidity"), str(tmp_path / "less"))
+    with pytest.raises(ValueError, match="humidity"):
+        tables.read_hourly_csv(spark, str(tmp_path / "less"))
     tables.write_hourly(df, str(tmp_path / "parquet"))
     assert spark.read.parquet(str(tmp_path / "parquet")).where("series_id = 'a'").count() == 720
 
@@ -165,14 +172,23 @@ def test_whole_pipeline(spark, grid, tmp_path):
     out = pipeline.run_pipeline(hourly_, CFG, Battery(cost=3e6), horizons=(1, 12), channels=CHANNELS,
                                 bundle_path=str(tmp_path / "bundles"))
     board = out["leaderboard"].toPandas()
-    assert len(board) == 8 and set(board["rank"]) == {1, 2, 3, 4}
+    assert len(board) == 10 and set(board["rank"]) == {1, 2, 3, 4, 5} and board.n.nunique() == 1
+    assert {"ridge", "ensemble", "naive_24"} <= set(board.model) and board.acf_24.notna().all()
     assert out["best_model"].count() == 2 and out["storage"].count() == 6
     tests = out["residual_tests"].toPandas()
-    assert len(tests) == 8 and tests["durbin_watson"].notna().any()
-    assert out["backtest_summary"].count() == 8
+    assert len(tests) == 10 and tests["durbin_watson"].notna().any()
+    assert out["backtest_summary"].count() == 10
     assert {r.status for r in out["regime"].collect()} <= {"overfitting", "underfitting", "balanced"}
     scored = pipeline.run_scoring(hourly_, str(tmp_path / "bundles" / "ridge"))
     assert scored.count() == 2 * 2
+    with pytest.raises(ValueError, match="fewer than"):
+        pipeline.run_scoring(with_positions(hourly_.where("pos < 30").select("series_id", "ts", "load")),
+                             str(tmp_path / "bundles" / "ridge"))
+    bundle = load_bundle(spark, str(tmp_path / "bundles" / "ridge"))
+    plain = {(r.series_id, r.h): r.y_pred for r in models.score_latest(
+        {**bundle, "bias": None}, with_split(hourly_)).collect()}
+    shift = {r.series_id: r.bias for r in bundle["bias"].collect()}
+    assert all(r.y_pred == pytest.approx(plain[r.series_id, r.h] - shift[r.series_id]) for r in scored.collect())
 
 
 def test_comparison_run(grid):
