@@ -74,9 +74,12 @@ def lag_products(df: DataFrame, value: str, max_lag: int, keys: Sequence[str] =
     keys = list(keys)
     blocks = Blocks(keys=keys, pos=pos, before=max_lag)
     rows = blocks.spread(df.select(*keys, pos, value)).withColumn(
-        "_w", F.reverse(F.collect_list(value).over(blocks.frame(-max_lag, 0))))
-    pairs = blocks.core(rows).select(*keys, F.col(value).alias("_x"),
-                                     F.posexplode("_w").alias("lag", "_y"))
+        "_w", F.reverse(F.collect_list(F.struct(F.col(value).alias("v"))).over(
+            blocks.frame(-max_lag, 0))))
+    # As structs, NULL values keep their place, so the lags stay right; such pairs do not count.
+    pairs = blocks.core(rows).where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_x"), F.posexplode("_w").alias("lag", "_s")).select(
+        *keys, "lag", "_x", F.col("_s.v").alias("_y")).where(F.col("_y").isNotNull())
     sums = pairs.groupBy(*keys, "lag").agg(
         F.count(F.lit(1)).alias("_pairs"), F.sum(F.col("_x") * F.col("_y")).alias("_xy"),
         F.sum(F.col("_x") + F.col("_y")).alias("_xs"))

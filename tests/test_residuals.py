@@ -198,3 +198,15 @@ def test_profiles_match_pandas(spark, grid, hourly):
     np.testing.assert_allclose(b["p10"], cut.quantile(0.1))
     cells = profile.density_2d(grid, "temperature").where("series_id = 'a'").toPandas()
     assert cells["count"].sum() == len(part) and (cells["count"] >= 1).all()
+
+
+def test_lag_products_keep_their_lags_around_nulls(spark):
+    x = np.random.default_rng(4).normal(5, 2, 60)
+    rows = [("s", i, None if i == 20 else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series_id string, pos long, load double")
+    got = {r.lag: r for r in residuals.lag_products(df, "load", 3).collect()}
+    x[20] = np.nan
+    mean = np.nanmean(x)
+    for lag in range(4):
+        a, b = x[lag:] - mean, x[:len(x) - lag] - mean
+        assert got[lag].n == 59 and got[lag].c == pytest.approx(np.nansum(a * b))
