@@ -9,8 +9,9 @@ the neighbours are exact. Votes are calibrated by the leave-one-out votes of the
 
 Defined results: a null or empty text, or one without a vocabulary term, gets the rate of the
 label among examples without one. Several labels of one document count as 1 if any is 1; null
-labels are left out. Repeated rows get the same score. With no label or only one kind,
-every score is that rate (0 without labels). An empty table gives an empty result.
+labels are left out. Repeated rows get the same score. With labels of one kind only, or none,
+or no term that leans to the label, nothing tells documents apart: every score is the label's rate, but
+at most one half (0 without labels), so none is rejected. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -185,6 +186,11 @@ def _document_frequency(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarr
     return out
 
 
+def _rate(n: dict[int, int]) -> float:
+    """Share of label 1, drawn towards 0.1 by one more example; 0 without examples."""
+    return (n.get(1, 0) + 0.1) / (sum(n.values()) + 1) if n else 0.0
+
+
 def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
@@ -199,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     n = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
     terms = _vocabulary(_term_counts(labelled), n.get(1, 0), n.get(0, 0))
     model = Model({t: i for i, t in enumerate(terms)}, np.ones(len(terms)), Index(
-        np.zeros(0, np.int64), np.zeros(0), [], len(terms)), n.get(1, 0) / max(1, sum(n.values())))
+        np.zeros(0, np.int64), np.zeros(0), [], len(terms)), min(_rate(n), 0.5))
     if not terms:
         return model
     df = _document_frequency(docs, model.vocabulary)
@@ -217,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     rows = labelled.mapInArrow(vectors, kind)
     bare = {r[0]: r[1] for r in rows.filter("size(terms) = 0").groupBy("label").count().collect()}
-    model.rate = (bare.get(1, 0) + 0.01) / (sum(bare.values()) + 0.02)
+    model.rate = _rate(bare)
     # Like examples side by side: sorted by their heaviest term, blocks get tight maxima.
     found = sorted(rows.filter("size(terms) > 0").collect(), key=lambda r: (
         max(zip(r.weights, r.terms))[1], sorted(r.terms), r.doc_id))
