@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ForecastConfig
+from ..functions.timeparts import hour_index
 from .residuals import autocorrelation
 from .windows import is_origin
 
@@ -26,6 +27,24 @@ def row_contract(df: DataFrame, days: int | None = None) -> DataFrame:
     )
 
 
+def hour_contract(raw: DataFrame, series: str = "series_id", ts: str = "ts") -> DataFrame:
+    """Hours observed in the raw rows per series, against the hours of its own span.
+
+    ``n_rows`` counts the rows with a time, ``n_dropped`` those without, which no grid holds. Rows
+    without a series share one group whose ``series_id`` is NULL. Rows are combined per hour before
+    the counts, so a series of any volume is a row per hour and task.
+    """
+    hours = raw.groupBy(F.col(series).cast("string").alias("series_id"),
+                        hour_index(F.col(ts)).alias("hr")).agg(F.count(F.lit(1)).alias("rows"))
+    timed = F.col("hr").isNotNull()
+    rows = lambda when: F.coalesce(F.sum(F.when(when, F.col("rows"))), F.lit(0))
+    return hours.groupBy("series_id").agg(
+        F.count("hr").alias("n_hours"), (F.max("hr") - F.min("hr") + 1).alias("expected"),
+        rows(timed).alias("n_rows"), rows(~timed).alias("n_dropped"),
+    ).withColumn("complete", F.col("series_id").isNotNull() & F.coalesce(
+        F.col("n_hours") == F.col("expected"), F.lit(False)) & (F.col("n_dropped") == 0))
+
+
 def quality_facts(df: DataFrame, value: str = "load") -> DataFrame:
     """One row per series with every figure of the report.
 

@@ -123,6 +123,16 @@ WITH {grid('user_id')}, b AS (SELECT date_diff('hour', lo, hi) + 1 AS expected F
 SELECT series_id, count(*) AS n_rows, any_value(expected) AS expected,
        count(*) = any_value(expected) AS complete FROM g CROSS JOIN b GROUP BY series_id"""
 
+ORACLES["hour_contract"] = """
+WITH h AS (SELECT CAST(user_id AS VARCHAR) AS series_id, date_trunc('hour', ts) AS hr, count(*) AS k
+           FROM events GROUP BY ALL)
+SELECT series_id, count(hr) AS n_hours, date_diff('hour', min(hr), max(hr)) + 1 AS expected,
+       CAST(coalesce(sum(k) FILTER (hr IS NOT NULL), 0) AS BIGINT) AS n_rows,
+       CAST(coalesce(sum(k) FILTER (hr IS NULL), 0) AS BIGINT) AS n_dropped,
+       series_id IS NOT NULL AND coalesce(count(hr) = date_diff('hour', min(hr), max(hr)) + 1, false)
+         AND coalesce(sum(k) FILTER (hr IS NULL), 0) = 0 AS complete
+FROM h GROUP BY series_id"""
+
 SEASON = ("CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) <= 5 THEN 'spring' "
           "WHEN month(ts) <= 8 THEN 'summer' ELSE 'autumn' END")
 ORACLES["calendar_features"] = f"""

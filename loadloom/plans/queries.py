@@ -103,6 +103,11 @@ def row_contract(spark, sf):
     return quality.row_contract(by_user(spark, sf))
 
 
+@query
+def hour_contract(spark, sf):
+    return quality.hour_contract(tables.read_table(spark, sf, "events"), "user_id")
+
+
 # --- calendar, tariff, weather ------------------------------------------------
 
 @query

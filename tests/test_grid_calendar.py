@@ -152,3 +152,13 @@ def test_row_contract_and_drift(spark, grid):
                              .otherwise(F.col("load")))
     assert all(r.drift for r in quality.drift_check(raised).collect())
     assert not any(r.drift for r in quality.drift_check(grid).collect())
+
+
+def test_hour_contract_finds_gaps_and_dropped_rows(spark):
+    rows = [("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("a", "2024-01-01 01:00:00"),
+            ("b", "2024-01-01 00:00:00"), ("b", "2024-01-01 02:00:00"), ("c", "2024-01-01 00:00:00"),
+            ("c", None), ("d", None), (None, "2024-01-01 00:00:00")]
+    raw = spark.createDataFrame(rows, "series_id string, t string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    got = {r.series_id: r[1:] for r in quality.hour_contract(raw).collect()}
+    assert got == {"a": (2, 2, 3, 0, True), "b": (2, 3, 2, 0, False), "c": (1, 1, 1, 1, False),
+                   "d": (0, None, 0, 1, False), None: (1, 1, 1, 0, False)}
