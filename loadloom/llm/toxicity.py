@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, distance-weighted votes.
 
-A bounded sample of labelled documents is the example set. Its terms (lower-cased runs of
+A bounded sample of labelled documents, without near-copies, is the example set. Its terms (lower-cased runs of
 letters, and their first four and five letters) that lean to the label form the vocabulary;
 their document frequencies are counted over all documents. Examples lie in blocks of an
 inverted index that keeps, per term, the largest weight of each block. A query visits
@@ -16,8 +16,10 @@ at most one half (0 without labels), so none is rejected. An empty table gives a
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -25,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage, scratch_path
+
 #: Bounds of what is fitted on the driver; documents are never bounded.
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
@@ -136,6 +140,26 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.array([(p[1] + 0.01) / (p[2] + 0.02) for p in pools]))
 
 
+def _without_copies(labelled: DataFrame) -> DataFrame:
+    """One example of each label and sketch: the four smallest hashes of a text's words.
+
+    Near-copies share their sketch. As examples they would make every word of a toxic text look
+    toxic, because it stands in as many toxic examples as the text has copies.
+    """
+    def run(batches):
+        for batch in batches:
+            sketch = [str(heapq.nsmallest(4, {zlib.crc32(w.encode()) for w in _LETTERS.findall((t or "").lower())}))
+                      for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text"),
+                 batch.column("label").cast(pa.int32()), pa.array(sketch, pa.string())],
+                ["doc_id", "text", "label", "sketch"])
+
+    rows = labelled.mapInArrow(run, "doc_id long, text string, label int, sketch string")
+    first = rows.groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    return first.select("r.doc_id", "r.text", "label")
+
+
 def _term_counts(labelled: DataFrame) -> DataFrame:
     """(term, pos, neg): documents of either label that hold the term."""
     def run(batches):
@@ -200,10 +224,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     by a hash of their id. The sample's ids are broadcast; that bound limits their size."""
     sample = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(
         "doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    n_labels = sample.count()
+    if n_labels > MAX_EXAMPLES:
+        # A share of the hashes instead of a sorted limit: no task or driver gathers candidates. Two
+        # per cent below the bound, nearly three deviations of the binomial at the default size.
+        share = int((1 << 40) * 0.98 * MAX_EXAMPLES / n_labels)
+        sample = sample.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share)
+    path = scratch_path(docs.sparkSession, "examples")
+    _without_copies(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).write.parquet(path)
+    labelled = docs.sparkSession.read.parquet(path)
     n = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    terms = _vocabulary(_term_counts(labelled), n.get(1, 0), n.get(0, 0))
+    terms = _vocabulary(cut_lineage(_term_counts(labelled)), n.get(1, 0), n.get(0, 0))
     model = Model({t: i for i, t in enumerate(terms)}, np.ones(len(terms)), Index(
         np.zeros(0, np.int64), np.zeros(0), [], len(terms)), min(_rate(n), 0.5))
     if not terms:
@@ -221,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                  pa.array([list(v.values()) for v in got], pa.list_(pa.float64()))],
                 ["doc_id", "label", "terms", "weights"])
 
-    rows = labelled.mapInArrow(vectors, kind)
+    rows = cut_lineage(labelled.mapInArrow(vectors, kind))
     bare = {r[0]: r[1] for r in rows.filter("size(terms) = 0").groupBy("label").count().collect()}
     model.rate = _rate(bare)
     # Like examples side by side: sorted by their heaviest term, blocks get tight maxima.

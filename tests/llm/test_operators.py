@@ -76,7 +76,7 @@ def test_toxicity_finds_planted_words(spark):
     rng = np.random.default_rng(1)
     rows = []
     for i in range(600):
-        w = [f"word{k}" for k in rng.integers(0, 300, 40)]
+        w = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rng.integers(0, 300, 40)]
         if i % 6 == 0:
             w[5:7] = ["Vilestuff", "badthing"]
         rows.append((i, " ".join(w), int(i % 6 == 0)))
