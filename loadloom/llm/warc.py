@@ -124,9 +124,11 @@ def first_pages(pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """One archive per task; returns the manifest (path, records), kept below the folder."""
     spark = pages.sparkSession
-    sample = pages.filter(F.col("html").isNotNull()).select(
-        F.xxhash64("page_id", "url").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("s")).orderBy(
-            "h", "s").limit(SAMPLE_ROWS).select("s")
+    # A share of the hashes, about SAMPLE_ROWS rows: no task or driver gathers more candidates.
+    bodies = pages.filter(F.col("html").isNotNull())
+    share = int((1 << 40) * min(1.0, SAMPLE_ROWS / max(1, bodies.count())))
+    sample = bodies.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)) < share).select(
+        F.substring("html", 1, SAMPLE_BYTES).alias("s")).orderBy("s")
     dictionary = train_dictionary([r[0].encode() for r in sample.collect()])
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.select("page_id", "url", body.alias("payload")).withColumns({
