@@ -182,7 +182,9 @@ def jarque_bera(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIE
     return per.select(*keys, "n", jb.alias("jb"), F.exp(-jb / 2.0).alias("jb_p"))
 
 
-KPSS_MAX_COVARIANCE = 48  # floor(n^(2/9)) stays below this up to 39 million rows
+def _longest(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the longest key; one aggregate, run while the plan is built."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
 
 
 def kpss(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,
@@ -192,14 +194,13 @@ def kpss(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,
     The long-run variance with Bartlett weights over M-1 lags equals the mean square of
     the demeaned series' moving sums of length M, divided by M. Moving sums are
     differences of the running sum, which the statistic needs anyway, so one equi-join
-    replaces a pass per lag whatever the bandwidth.
+    replaces a pass per lag whatever the bandwidth. The lags of the bandwidth's own estimate
+    reach as far as the longest key needs.
     """
     keys = list(keys)
-    sums = lag_products(df, resid, KPSS_MAX_COVARIANCE, keys, pos)
+    sums = lag_products(df, resid, int(_longest(df, keys) ** (2.0 / 9.0)) + 1, keys, pos)
     n = F.col("n")
     cov = F.floor(F.pow(n.cast("double"), F.lit(2.0 / 9.0)))
-    cov = F.when(cov <= KPSS_MAX_COVARIANCE, cov).otherwise(
-        F.raise_error(F.lit("kpss: series too long for KPSS_MAX_COVARIANCE")).cast("bigint"))
     use = F.col("lag").between(1, cov)
     per = sums.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("mean").alias("_mean"),
@@ -230,9 +231,6 @@ def kpss(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,
         "kpss_p", stats.kpss_p(F.col("kpss")))
 
 
-ADF_HALO = 256
-
-
 def _adf_max_lag(n: int) -> int:
     return max(0, min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25))))
 
@@ -267,7 +265,8 @@ def adf(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,
     keys = list(keys)
     key_types = [df.schema[k] for k in keys]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = Blocks(keys=keys, pos="pos", before=ADF_HALO)
+    # Every block gets as many rows before it as the longest key's lags need.
+    blocks = Blocks(keys=keys, pos="pos", before=_adf_max_lag(_longest(df, keys)) + 1)
     rows = blocks.spread(
         df.select(*keys, F.col(pos).alias("pos"), F.col(resid).cast("double").alias("_y"))
     ).join(sizes, keys)
@@ -277,8 +276,6 @@ def adf(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,
         pdf = pdf.sort_values("pos")
         n, block = int(pdf["_n"].iloc[0]), int(pdf[BLOCK].iloc[0])
         p = _adf_max_lag(n)
-        if p + 1 > ADF_HALO:
-            raise ValueError("adf: series too long for ADF_HALO")
         y, at = pdf["_y"].to_numpy(), pdf["pos"].to_numpy()
         parts = []
         first = max(block * block_rows, p + 1)
