@@ -34,7 +34,6 @@ LEAST_SHARED = 100
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 1000
 SAMPLE_BYTES = 16 << 10
-LARGEST_HEAD = 1 << 16
 
 
 class BadRecord(ValueError):
@@ -69,9 +68,9 @@ class ArchiveWriter:
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower-case names) and payload of one record."""
-    head, found, rest = data[:LARGEST_HEAD].partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not found or lines[0] != VERSION:
+    end = data.find(b"\r\n\r\n")
+    lines = data[:max(end, 0)].split(b"\r\n")
+    if end < 0 or lines[0] != VERSION:
         raise BadRecord("no WARC header")
     headers: dict[str, str] = {}
     for line in lines[1:]:
@@ -82,7 +81,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     for name in ("warc-type", "warc-record-id", "warc-payload-digest", "content-length"):
         if name not in headers:
             raise BadRecord(f"no {name}")
-    start, length = len(head) + 4, headers["content-length"]
+    start, length = end + 4, headers["content-length"]
     if not length.isdigit() or len(data) != start + int(length) + 4 or data[-4:] != b"\r\n\r\n":
         raise BadRecord(f"content-length {length} in a record of {len(data)} bytes")
     return headers, data[start:-4]
