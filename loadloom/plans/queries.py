@@ -646,7 +646,7 @@ def gbt(spark, sf):
 def ridge_grid_search(spark, sf):
     table = models.model_table(typed_model_grid(spark, sf), CFG, MODEL_CHANNELS)
     found, _ = sweep.grid_search("ridge", table, CFG, models.feature_names(CFG, MODEL_CHANNELS),
-                                 [{"alpha": a} for a in (0.1, 1.0, 10.0)], horizons=(1, 24))
+                                 [{"alpha": a} for a in (0.1, 1.0, 10.0)])
     return shown(found)
 
 
@@ -659,8 +659,7 @@ def model_comparison(spark, sf):
 @query
 def history_sweep(spark, sf):
     return shown(sweep.history_sweep(typed_model_grid(spark, sf), CFG, (24, 48, 72, 96),
-                                     kinds=("naive", "ridge"), channels=MODEL_CHANNELS,
-                                     horizons=(1, 24)))
+                                     kinds=("naive", "ridge"), channels=MODEL_CHANNELS))
 
 
 @query
