@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import ctw, idstore, mixing, packing, quality, simhash, tokens, topk, toxicity, urls, warc
+from . import ctw, decontaminate, idstore, mixing, packing, quality, simhash, tokens, topk, toxicity, urls, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op4_block_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op6_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram and context-tree scores of every document."""
     return ctw.language_model(table(spark, folder, "documents"))
+
+
+@query
+def op13_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A word is a run of anything but these; Python's bytes.split() splits at the same bytes.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+UPPER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = bytes.maketrans(UPPER_LETTERS.encode(), UPPER_LETTERS.lower().encode())
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
