@@ -33,36 +33,40 @@ def run_length(length: int) -> int:
     return (length + 1) // 2
 
 
-def _numbers(count: Column) -> Column:
-    """1 to ``count``, or nothing."""
-    return F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+def _sliding(rows: DataFrame, name: str, length: int, combine) -> DataFrame:
+    """Replace the array column by one value for each of its runs of ``length`` elements, doubling the runs;
+    ``combine`` gets the values of two shorter runs that cover the longer one.
 
+    Every step is a projection of its own, so that no array is computed twice."""
+    def shifted(step):
+        left = F.greatest(F.size(name) - step, F.lit(0))
+        return F.zip_with(F.slice(F.col(name), F.lit(1), left), F.slice(F.col(name), F.lit(step + 1), left), combine)
 
-def run_hashes(found: Column, length: int) -> Column:
-    """Hash of every run of words in an array of words."""
-    k = run_length(length)
-    return F.transform(_numbers(F.size(found) - (k - 1)), lambda i: F.xxhash64(F.slice(found, i, k)))
+    size = 1
+    while size < length:
+        step = min(size, length - size)
+        rows = rows.withColumn(name, shifted(step))
+        size += step
+    return rows
 
 
-def kept_places(hashes: Column, length: int) -> Column:
-    """Place of the first smallest hash in every window, each place once."""
-    w = length - run_length(length) + 1
+def run_hashes(rows: DataFrame, length: int) -> DataFrame:
+    """The rows with ``hashes`` in place of ``words``: a hash of every run of words."""
+    one = rows.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x))).drop("words")
+    return _sliding(one, "hashes", run_length(length), lambda a, b: F.xxhash64(a, b))
 
-    def least(i):
-        window = F.slice(hashes, i, w)
-        return (F.array_position(window, F.array_min(window)) + i - 1).cast("int")
 
-    return F.array_distinct(F.transform(_numbers(F.size(hashes) - (w - 1)), least))
+def kept_hashes(rows: DataFrame, length: int) -> DataFrame:
+    """The rows with ``hashes`` reduced to the smallest one of every window, each once."""
+    least = _sliding(rows, "hashes", length - run_length(length) + 1, lambda a, b: F.least(a, b))
+    return least.withColumn("hashes", F.array_distinct("hashes"))
 
 
-def fingerprints(words: DataFrame, length: int, *keys: str) -> DataFrame:
-    """(keys, place, hash) of the kept runs of every row's ``words``."""
-    hashed = words.select(*keys, run_hashes(F.col("words"), length).alias("hashes"))
-    kept = hashed.select(*keys, F.transform(
-        kept_places(F.col("hashes"), length),
-        lambda p: F.struct(p.alias("place"), F.get("hashes", p - 1).alias("hash"))).alias("kept"))
-    # An inner inline would make Spark test the array's size first, computing it again for every word.
-    return kept.select(*keys, F.inline_outer("kept")).filter("hash IS NOT NULL")
+def exploded(rows: DataFrame, name: str) -> DataFrame:
+    """One row per element of the array column. An inner explode would make Spark test the array's
+    size first, by computing it a second time."""
+    others = [c for c in rows.columns if c != name]
+    return rows.select(*others, F.explode_outer(name).alias(name)).filter(F.col(name).isNotNull())
 
 
 def windows(items: DataFrame) -> DataFrame:
@@ -85,34 +89,62 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def occurrences(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _spans(near: DataFrame, own: DataFrame, length: int) -> DataFrame:
+    """(key, start, length) of the spans around a run that a window keeps; ``near`` has (key, words)."""
+    # All places of a window's smallest hash are offsets; where it occurs twice there, both lead to the window.
+    runs = run_hashes(own, length).select(F.posexplode_outer("hashes").alias("offset", "hash"), F.array_min("hashes").alias("least"))
+    wanted = _written(runs.filter("hash = least").select("hash", "offset").distinct(), "runs")
+    places = run_hashes(near, length).select("key", F.posexplode_outer("hashes").alias("place", "hash"))
+    return places.filter("hash IS NOT NULL").join(wanted, "hash").select(
+        "key", (F.col("place") - F.col("offset") + 1).alias("start"), F.lit(length).alias("length")).filter("start >= 1").distinct()
+
+
+def searched(docs: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(doc_id, key, n_words) of every row, and the keys of the texts that keep a hash which a window keeps."""
+    # At most WINDOW lengths.
+    lengths = sorted(r[0] for r in owned.select("length").distinct().collect())
+    base = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("words")).withColumn(
+        "n_words", F.size("words").cast("long"))
+    for length in lengths:
+        mine = base.withColumn("words_", F.col("words"))
+        mine = kept_hashes(run_hashes(mine, length), length)
+        base = mine.withColumnsRenamed({"hashes": f"kept{length}", "words_": "words"})
+    base = _written(base.drop("words"), "kept")
+    keys = None
+    for length in lengths:
+        own = owned.filter(F.col("length") == length).select(F.split("window", " ").alias("words")).distinct()
+        wanted = _written(exploded(kept_hashes(run_hashes(own, length), length), "hashes").distinct(), "wanted")
+        found = exploded(base.select("key", F.col(f"kept{length}").alias("hashes")), "hashes")
+        part = found.join(wanted, "hashes", "left_semi").select("key")
+        keys = part if keys is None else keys.unionByName(part)
+    return base.select("doc_id", "key", "n_words"), keys and _written(keys.distinct(), "near"), lengths
+
+
+def occurrences(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans of the documents' texts that equal a window, as (key, start, length, window) with the
-    text's key, each once; and the windows as ``windows`` gives them."""
+    text's key, each once; the windows as ``windows`` gives them; and (doc_id, key, n_words)."""
     owned = _written(windows(items), "windows")
-    texts = docs.filter(F.col("text").isNotNull()).select(
-        text_key(F.col("text")).alias("key"), words(F.col("text")).alias("words"))
+    rows, keys, lengths = searched(docs, owned)
+    if keys is None:
+        return docs.sparkSession.createDataFrame([], "key binary, start int, length int, window string"), owned, rows
+    # Only texts with a hit are cut into words again, each once.
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(keys, "key", "left_semi")
+    near = _written(texts.groupBy("key").agg(F.any_value("text").alias("text")).select(
+        "key", words(F.col("text")).alias("words")), "near")
     spans = None
-    # At most WINDOW lengths.
-    for length in sorted(r[0] for r in owned.select("length").distinct().collect()):
+    for length in lengths:
         own = owned.filter(F.col("length") == length).select(F.split("window", " ").alias("words")).distinct()
-        wanted = _written(fingerprints(own, length).distinct(), "runs")
-        found = fingerprints(texts, length, "key").join(wanted.withColumnRenamed("place", "offset"), "hash")
-        part = found.select("key", (F.col("place") - F.col("offset") + 1).alias("start"),
-                            F.lit(length).alias("length")).filter("start >= 1").distinct()
+        part = _spans(near, own, length)
         spans = part if spans is None else spans.unionByName(part)
-    if spans is None:
-        return docs.sparkSession.createDataFrame([], "key binary, start int, length int, window string"), owned
-    spans = _written(spans, "spans")
-    # Only texts with a candidate come back, each once.
-    near = texts.join(spans.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
     cut = spans.join(near, "key").filter(F.col("start") + F.col("length") - 1 <= F.size("words")).select(
         "key", "start", "length", F.concat_ws(" ", F.slice("words", F.col("start"), F.col("length"))).alias("window"))
-    return _written(cut.join(owned.select("window").distinct(), "window", "left_semi"), "occurrences"), owned
+    found = cut.join(owned.select("window").distinct(), "window", "left_semi")
+    return _written(found, "occurrences"), owned, rows
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
-    found, owned = occurrences(docs, items)
+    found, owned, rows = occurrences(docs, items)
     hit = found.select("key", F.explode(F.expr("sequence(start, start + length - 1)")).alias("at")).distinct().groupBy(
         "key").agg(F.count(F.lit(1)).alias("n_hit"))
     named = found.select("key", "window").distinct().join(owned.filter("item_id IS NOT NULL"), "window").select(
@@ -120,8 +152,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
     by_text = _written(hit.join(named, "key", "left"), "hits")
     zero = F.lit(0).cast("long")
-    return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"),
-                       text_key(F.col("text")).alias("key")).join(by_text, "key", "left").select(
+    return rows.join(by_text, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
