@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import ctw, decontaminate, idstore, mixing, packing, quality, simhash, tokens, topk, toxicity, urls, warc
+from . import ctw, decontaminate, idstore, mixing, negatives, packing, quality, simhash, tokens, topk, toxicity, urls, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,12 @@ def op6_context_tree(spark: SparkSession, folder: str) -> DataFrame:
 def op13_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in every document."""
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op11_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; labels of every seventh id are one off."""
+    vectors = table(spark, folder, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    rows = negatives.integers(vectors)
+    return negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
