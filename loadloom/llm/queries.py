@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import ctw, decontaminate, idstore, mixing, negatives, packing, quality, simhash, tokens, topk, toxicity, urls, warc
+from . import (ctw, decontaminate, dialogue, idstore, mixing, negatives, packing, quality, simhash, tokens, topk, toxicity,
+               urls, warc)
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,9 @@ def op11_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
         "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     rows = negatives.integers(vectors)
     return negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@query
+def op12_path_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation."""
+    return dialogue.repair(table(spark, folder, "conversations"))
