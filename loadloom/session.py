@@ -45,5 +45,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, with its file system: tasks that write files there
+    themselves must not take a path without one for a folder of their own disk."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{system.makeQualified(folder).toString().rstrip('/')}/{name}-{uuid.uuid4().hex}"
