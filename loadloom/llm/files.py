@@ -10,10 +10,13 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 
 def _at(path: str):
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if path.startswith("file:/") and not path.startswith("file://"):  # as Hadoop writes local paths
+        path = f"file://{path[5:]}"
+    return fs.FileSystem.from_uri(path)
 
 
 def create(folder: str, stem: str, suffix: str):
@@ -27,3 +30,10 @@ def create(folder: str, stem: str, suffix: str):
 def open_input(path: str):
     system, local = _at(path)
     return system.open_input_file(local)
+
+
+def dealt(units: DataFrame, *order: str) -> DataFrame:
+    """Units of reading, a few hundred bytes each, over many tasks: an explicit number of partitions, which adaptive
+    execution does not merge, at most four for every core."""
+    most = 4 * units.sparkSession.sparkContext.defaultParallelism
+    return units.repartitionByRange(max(1, min(most, units.count())), *order)

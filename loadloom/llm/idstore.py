@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import files, tokens
 
+#: Ids that one task reads back, about.
+UNIT_IDS = 4 << 20
 MAGIC = b"LLIDS001"
 SAMPLE = 256
 
@@ -139,10 +141,11 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids(*self.ends.range(i, 2).tolist())
 
-    def scan(self, step: int = 512):
-        """Batches of (document ids, boundaries, ids of all of them)."""
-        for i in range(0, self.n, step):
-            k = min(step, self.n - i)
+    def scan(self, first: int = 0, last: int | None = None, step: int = 512):
+        """Batches of (document ids, boundaries, ids of all of them), of the documents first to last - 1."""
+        last = self.n if last is None else last
+        for i in range(first, last, step):
+            k = min(step, last - i)
             ends = self.ends.range(i, k + 1)
             nulls = max(0, min(k, self.nulls - i))
             named = self.doc_ids.range(i + nulls - self.nulls, k - nulls) + self.base
@@ -183,12 +186,13 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
         "base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Every document of the shards: its place, length and the crc32 of its ids."""
+def read_documents(shards: DataFrame, most: int = UNIT_IDS) -> DataFrame:
+    """Every document of the shards: its place, length and the crc32 of its ids. A task reads a
+    range of documents with about ``most`` ids; select structures find its offsets."""
     def run(batches):
         for batch in batches:
-            for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                for doc_ids, ends, ids in Shard(path).scan():
+            for path, base, *part in zip(*(batch.column(c).to_pylist() for c in ("path", "base", "first", "last"))):
+                for doc_ids, ends, ids in Shard(path).scan(*part):
                     cut = (ends - ends[0]).tolist()
                     data = ids.tobytes()
                     crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(cut, cut[1:])]
@@ -197,5 +201,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
                          pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.repartitionByRange(F.col("shard")).mapInArrow(
+    n = F.least(F.greatest(F.lit(1), F.ceil(F.col("n_ids") / most)), F.col("n_docs"))
+    units = shards.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(
+        "path", "base", "shard", "k", F.expr("k * n_docs div n").alias("first"), F.expr("(k + 1) * n_docs div n").alias("last"))
+    return files.dealt(units, "shard", "k").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -37,20 +37,22 @@ b AS (
     + 256 * (2 * n_upper > n_letters)::INT + 512 * (2 * n_marks > n_words)::INT AS BIGINT) AS fail_bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+       (fail_bits & 3) <> 0 AS base_failed, (fail_bits & ~4) = 0 AS kept, fail_bits FROM b
 """
 
 _TERMS = "length(list_filter({0}, lambda t: regexp_matches(s, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))"
 ORACLES["op7_url_vocabulary"] = f"""
 WITH p AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+         translate(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE coalesce(url, '') END,
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s
   FROM pages),
 h AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  SELECT page_id, s, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                             'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 r AS (
-  SELECT *, host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s,
+  SELECT *,
     CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1')
            THEN 'example.org/en/1'
          WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/')

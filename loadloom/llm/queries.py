@@ -22,8 +22,8 @@ def query(make):
 
 @query
 def op8_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Rule bits of every document and the verdict of policy v1, which its SQL defines."""
-    return quality.apply_policy(quality.ledger(table(spark, folder, "documents")), "v1").select(
+    """Rule bits of every document and the verdict of the default policy; length alone rejects none."""
+    return quality.apply_policy(quality.ledger(table(spark, folder, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "fail_bits")
 

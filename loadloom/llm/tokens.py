@@ -18,8 +18,10 @@ from .text import slices
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian 32-bit integers")
 
-#: Words remembered per Python worker and vocabulary; further ones are encoded every time.
-MEMORY = 800_000
+#: Bytes of words and their ids remembered per Python worker and vocabulary, and characters of a remembered word;
+#: further words are encoded every time.
+MEMORY = 40 << 20
+LONGEST = 64
 #: Bytes of text that are cut into words at a time.
 STEP_BYTES = 2 << 20
 
@@ -39,6 +41,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.free = MEMORY
         #: The vocabulary with a normalizer lower-cases and drops white space.
         self.folds = self.tokenizer.normalizer is not None
         # A byte-level token is as long as the bytes it stands for, but for its mark of a word's end.
@@ -71,19 +74,23 @@ class Encoder:
         for part in parts:
             tail = _TAIL.fullmatch(part)
             if tail and (a := known.get(tail[1])) is not None:
-                if tail[2] not in self.tails:
-                    self.tails[tail[2]] = self.whole([tail[2]])[0]
-                got[part] = a + self.tails[tail[2]]
+                end = self.tails.get(tail[2])
+                if end is None:
+                    end = self.whole([tail[2]])[0]
+                    if len(tail[2]) <= 3:  # of nine characters, so these stay few
+                        self.tails[tail[2]] = end
+                got[part] = a + end
             else:
                 new.append(part)
         for at in range(0, len(new), 4096):
             some = new[at:at + 4096]
             spaced = some if self.folds else [p if p[0] == "\n" else " " + p for p in some]
             got.update(zip(some, self._words(spaced)))
-        if len(known) < MEMORY:
-            known.update(got)
-        if len(self.tails) > MEMORY:
-            self.tails.clear()
+        for part, ids in got.items() if self.free > 0 else ():
+            if len(part) <= LONGEST:
+                known[part] = ids
+                # Two objects and an entry of the table.
+                self.free -= sys.getsizeof(part) + sys.getsizeof(ids) + 100
         return got
 
     def _cut(self, text: str) -> tuple[str, list[str]] | None:

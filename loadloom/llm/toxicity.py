@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage, scratch_path
+from .text import slices
 
 #: Bounds of what is fitted on the driver; documents are never bounded.
 MAX_EXAMPLES = 20_000
@@ -292,7 +293,8 @@ def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows scored below the threshold, with their own columns."""
     def run(batches):
         for batch in batches:
-            good = [model.score(t)[0] < THRESHOLD for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for part in slices(batch, "text", 4 << 20):
+                good = [model.score(t)[0] < THRESHOLD for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,8 +4,8 @@ One pass of an Aho-Corasick automaton finds all terms of a url; a hit counts onl
 the characters around it are no letters or digits. A url is blocked on one strict term or on
 several distinct soft ones. A rule for its host and path overrides that.
 
-Defined results: a null url, or one without ``://``, has empty host and path and no hit, so it
-is allowed. Repeated rows are judged row by row; an empty table gives an empty result.
+Defined results: the vocabulary is looked for in all of the url behind ``://``, query and fragment included, or in
+the whole url where that is missing. Such urls have empty host and path. A null url has no hit and is allowed. Repeated rows are judged row by row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,15 +55,28 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[:cut]
 
 
-def fitting_rule(host: str, path: str, rules: dict[str, str]) -> str | None:
-    """The longest rule whose host is this host or a parent of it, and whose path begins this."""
-    best = None
+def scanned(url: str | None) -> str:
+    """What the vocabulary is looked for in, A-Z lower-cased."""
+    return (url or "").partition("://")[2 if "://" in (url or "") else 0].translate(_LOWER)
+
+
+def rules_by_host(rules: dict[str, str]) -> dict[str, list[tuple[str, str]]]:
+    """Per host of a rule (path start, rule), so that a url asks for its own host and its parents only."""
+    out: dict[str, list[tuple[str, str]]] = {}
     for rule in rules:
         name, _, start = rule.partition("/")
-        if (host == name or host.endswith("." + name)) and path.startswith("/" + start):
-            if best is None or len(rule) > len(best):
-                best = rule
-    return best
+        out.setdefault(name, []).append(("/" + start, rule))
+    return out
+
+
+def fitting_rule(host: str, path: str, by_host: dict[str, list[tuple[str, str]]]) -> str | None:
+    """The longest rule whose host is this host or a parent of it, and whose path begins this."""
+    fits, name = [], host
+    while True:
+        fits += [rule for start, rule in by_host.get(name, ()) if path.startswith(start)]
+        _, dot, name = name.partition(".")
+        if not dot:
+            return max(fits, key=len, default=None)
 
 
 def hits(terms, text: str) -> tuple[set[str], set[str]]:
@@ -84,13 +97,13 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None,
     rules = RULES if rules is None else rules
 
     def run(batches):
-        terms = automaton(strict, soft)
+        terms, by_host = automaton(strict, soft), rules_by_host(rules)
         for batch in batches:
             rows = []
             for page, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist()):
                 host, path = split_url(url)
-                rule = fitting_rule(host, path, rules)
-                hard, weak = hits(terms, host + path.translate(_LOWER))
+                rule = fitting_rule(host, path, by_host)
+                hard, weak = hits(terms, scanned(url))
                 bad = bool(hard) or len(weak) >= soft_needed
                 rows.append((page, host, path, rule, rules[rule] if rule else
                              "block" if bad else "allow", len(hard), len(weak)))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -33,6 +34,8 @@ LEAST_SHARED = 100
 #: The dictionary's size and the sample it is trained on (rows, bytes of each).
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 1000
+#: Compressed bytes that one task reads back, about.
+PART_BYTES = 64 << 20
 SAMPLE_BYTES = 16 << 10
 
 
@@ -62,8 +65,12 @@ class ArchiveWriter:
         self.frames = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=True,
                                                write_checksum=True)
 
+        self.end = 8 + len(dictionary)
+
     def add(self, headers: list[tuple[str, str]], payload: bytes) -> None:
-        self.stream.write(self.frames.compress(record(headers, payload)))
+        frame = self.frames.compress(record(headers, payload))
+        self.stream.write(frame)
+        self.end += len(frame)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -87,8 +94,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, data[start:-4]
 
 
-def read_archive(stream):
-    """(headers, payload) of every record of a Zstandard archive, one frame in memory at a time."""
+def read_archive(stream, begin: int | None = None, end: int | None = None):
+    """(headers, payload) of every record of a Zstandard archive, or of the frames from ``begin`` to
+    ``end``; one frame in memory at a time."""
     first = stream.read(8)
     if not first:
         return
@@ -100,15 +108,26 @@ def read_archive(stream):
         raise BadRecord("the dictionary is cut")
     decoder = zstandard.ZstdDecompressor(
         dict_data=zstandard.ZstdCompressionDict(dictionary) if size else None)
+    left = None
+    if begin is not None:
+        stream.seek(begin)
+        left = end - begin
+
+    def more() -> bytes:
+        nonlocal left
+        data = stream.read(1 << 20 if left is None else min(1 << 20, left))
+        left = None if left is None else left - len(data)
+        return data
+
     rest = b""
     while True:
-        rest = rest or stream.read(1 << 20)
+        rest = rest or more()
         if not rest:
             return
         frame, out = decoder.decompressobj(), io.BytesIO()
         while not frame.eof:
             out.write(frame.decompress(rest))
-            rest = frame.unused_data if frame.eof else stream.read(1 << 20)
+            rest = frame.unused_data if frame.eof else more()
             if not frame.eof and not rest:
                 raise BadRecord("the last frame is cut")
         yield parse(out.getvalue())
@@ -120,14 +139,21 @@ def first_pages(pages: DataFrame) -> DataFrame:
         F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """One archive per task; returns the manifest (path, records), kept below the folder."""
+def stored_target(url: str | None) -> str:
+    """The url with white space and control characters percent-encoded: a header line ends at them."""
+    return "".join(quote(c, safe="") if c <= " " or c == "\x7f" or c.isspace() else c for c in url or "")
+
+
+def write_archives(pages: DataFrame, folder: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One archive per task; returns the manifest (path, begin, end, records) of its parts of about
+    ``part_bytes``, kept below the folder."""
     spark = pages.sparkSession
-    # A share of the hashes, about SAMPLE_ROWS rows: no task or driver gathers more candidates.
+    # A share of the hashes, about SAMPLE_ROWS rows: no task or driver gathers more candidates. Rows that agree in
+    # all columns are one.
     bodies = pages.filter(F.col("html").isNotNull())
     share = int((1 << 40) * min(1.0, SAMPLE_ROWS / max(1, bodies.count())))
-    sample = bodies.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 40)) < share).select(
-        F.substring("html", 1, SAMPLE_BYTES).alias("s")).orderBy("s")
+    hashed = bodies.select(F.xxhash64("page_id", "url", "html").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("s"))
+    sample = hashed.filter(F.pmod("h", F.lit(1 << 40)) < share).groupBy("h").agg(F.min("s").alias("s")).select("s").orderBy("s")
     dictionary = train_dictionary([r[0].encode() for r in sample.collect()])
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.select("page_id", "url", body.alias("payload")).withColumns({
@@ -138,13 +164,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         F.when(F.col("first_id").isNull() | (F.col("first_id") == F.col("page_id")), F.col("payload")).alias("payload"))
 
     def run(batches):
-        writer, n = None, 0
+        writer, n, begin, parts = None, 0, 0, []
         for batch in batches:
             for row in batch.to_pylist():
                 if writer is None:
                     path, stream = files.create(folder, f"pages-{TaskContext.get().partitionId():06d}", ".warc.zst")
                     writer = ArchiveWriter(stream, dictionary)
-                target = "".join(c for c in row["url"] or "" if c >= " ")
+                    begin = writer.end
+                target = stored_target(row["url"])
                 kind = "response" if row["payload"] is not None else "revisit"
                 headers = [("WARC-Type", kind), ("WARC-Target-URI", target),
                            ("WARC-Record-ID", f"<urn:page:{row['page_id']}>"),
@@ -156,11 +183,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                                 ("WARC-Refers-To", f"<urn:page:{row['first_id']}>")]
                 writer.add(headers, row["payload"] or b"")
                 n += 1
+                if writer.end - begin >= part_bytes:
+                    parts.append({"path": path, "begin": begin, "end": writer.end, "records": n})
+                    begin, n = writer.end, 0
         if writer is not None:
             stream.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "records": n}])
+            if n:
+                parts.append({"path": path, "begin": begin, "end": writer.end, "records": n})
+            yield pa.RecordBatch.from_pylist(parts)
 
-    shared.mapInArrow(run, "path string, records long").write.parquet(f"{folder}/manifest")
+    shared.mapInArrow(run, "path string, begin long, end long, records long").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -193,16 +225,16 @@ SCHEMA = ("page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row per record of the archives; an archive is the unit of work of a task."""
+    """A row per record of the archives; a part of one is the unit of work of a task."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()),
                         ("html", pa.string())])
 
     def run(batches):
         for batch in batches:
-            for path, records in zip(*(batch.column(c).to_pylist() for c in ("path", "records"))):
+            for path, *part, records in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "end", "records"))):
                 rows, size, n = [], 0, 0
-                for headers, payload in read_archive(files.open_input(path)):
+                for headers, payload in read_archive(files.open_input(path), *part):
                     rows.append(validated(headers, payload))
                     if not payloads:
                         rows[-1]["html"] = None
@@ -214,4 +246,4 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     raise BadRecord(f"{path} has {n} records, not {records}")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.repartitionByRange("path").mapInArrow(run, SCHEMA)
+    return files.dealt(manifest, "path", "begin").mapInArrow(run, SCHEMA)

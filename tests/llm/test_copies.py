@@ -68,3 +68,25 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id is None, r.doc_id or 0, lower(r.text)) for r in copies.first_of_each(docs).collect()))
     assert got == [(False, 3, " \n"), (False, 5, line), (False, 7, "one"), (False, 8, "one  two"), (True, 0, "other words")]
     assert copies.first_of_each(docs.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id_are_kept(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(3, b), (5, a), (5, b + " tail"), (9, a + " end"), (None, a + " z"), (7, "one two"), (7, "three"), (7, "three")]
+    for some, want in ((rows, [(3, b), (5, a), (7, "one two"), (7, "three")]), ([(5, a), (5, b)], [(5, a), (5, b)])):
+        docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in some], DOC)
+        assert sorted((r.doc_id, r.text) for r in copies.first_of_each(docs).collect()) == sorted(want)
+
+
+def test_pairs_of_the_bar_share_a_key(spark):
+    """Recall of the bands: every pair of different sets at 0.8 or more, found by inverted shingle lists."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    sets = {copies.set_hash(s): s for t in texts if len(s := copies.shingles((t or "").encode()))}
+    keys = {i: set(copies.band_keys(s).tolist()) for i, s in sets.items()}
+    lists = {}
+    for i, s in sets.items():
+        for x in s.tolist():
+            lists.setdefault(x, []).append(i)
+    pairs = {(i, j) for own in lists.values() for at, i in enumerate(own) for j in own[:at]}
+    near_pairs = [(i, j) for i, j in pairs if copies.similar(sets[i], sets[j])]
+    assert len(near_pairs) >= 5 and all(keys[i] & keys[j] for i, j in near_pairs)

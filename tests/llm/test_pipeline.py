@@ -5,7 +5,8 @@ from collections import Counter
 import corpus_pipeline as pipeline
 from loadloom.llm import mixing, quality, toxicity
 from loadloom.session import scratch_path
-from test_operators import SF, check_packing, plain_measures, plain_print, words
+from test_copies import smallest_of_groups
+from test_operators import SF, check_packing, plain_measures, words
 
 
 def stored(spark, df):
@@ -36,15 +37,7 @@ def test_stages_and_run(spark):
     assert {r[0] for r in bits} == kept.keys()
 
     first = stored(spark, stages["near_duplicates"](spark, good, SF))
-    ids = sorted(kept)
-    prints = {i: plain_print(kept[i]) for i in ids}
-    group = {i: i for i in ids}
-    for i in ids:
-        for j in ids:
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = {k: new if g == old else g for k, g in group.items()}
-    assert {r.doc_id for r in first.collect()} == set(group.values()) and first.columns == columns
+    assert {r.doc_id for r in first.collect()} == smallest_of_groups(list(kept.items())) and first.columns == columns
 
     mixed = stored(spark, stages["source_mix"](spark, first, SF))
     taken = Counter(r.doc_id for r in mixed.collect())
