@@ -20,7 +20,7 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 
 #: Bytes of words and their ids remembered per Python worker and vocabulary, and characters of a remembered word;
 #: further words are encoded every time.
-MEMORY = 40 << 20
+MEMORY = 64 << 20
 LONGEST = 64
 #: Bytes of text that are cut into words at a time.
 STEP_BYTES = 2 << 20
