@@ -128,3 +128,5 @@ class TreeConfig:
     subsample: float = 0.80
     colsample: float = 0.40
     min_child: int = 10
+    #: Rounds without a lower validation error after which boosting ends.
+    patience: int = 50

@@ -15,6 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import cut_lineage
 
 MIN_WEIGHT = 1e-3
+#: An error of this share of the truth's mean size counts as none.
+NO_ERROR = 1e-5
+#: Floor under |error| in the last passes, as a share of the MAE; lower ones take more passes.
+LOWEST_FLOOR = 1e-3
+#: Distinct cells of a series that one task may hold, and the passes it makes over them at most.
+WHOLE_CELLS = 50_000
+WHOLE_PASSES = 200
 
 
 def weighted(frame: DataFrame, members: Sequence[str], weights: Sequence[float],
@@ -70,76 +77,125 @@ def _simplex_minimum(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def _step(members: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Next weights of every series from the sums of a pass; a few numbers per series."""
-    k = len(members)
+def _advance(sums: np.ndarray, now: np.ndarray, best: np.ndarray, low: float | None, bound: float | None) -> tuple:
+    """Next weights, best ones, their error, its lower bound, relative gain and gap from the sums of a pass."""
+    k = len(now)
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    squares, cross = sums[:len(pairs)], sums[len(pairs):len(pairs) + k]
+    pulled, (along, total, error, size) = sums[len(pairs) + k:-4], sums[-4:]
+    mae, gain = error / total, 0.0
+    if low is None or np.isnan(low) or mae < low:
+        gain = np.inf if low is None or np.isnan(low) else (low - mae) / max(low, 1e-300)
+        best, low = now, mae
+    # No weights on the simplex have a lower error: any signs of the errors bound it from below.
+    bound = np.fmax(0.0 if bound is None else bound, (along - pulled.max()) / total)
+    gap = (low - bound) / max(low, NO_ERROR * size / total, 1e-300)
+    gram = np.zeros((k, k))
+    for (i, j), x in zip(pairs, squares):
+        gram[i, j] = gram[j, i] = x
+    new = _simplex_minimum(gram, cross) if np.isfinite(sums).all() and gram.any() else now
+    return new, best, float(low), float(bound), float(gain), float(gap) if np.isfinite(gap) else None
+
+
+_STATE = ["series_id", "weights", "best", "best_mae", "bound", "gain", "gap"]
+
+
+def _step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Next state of every series from the sums of a pass; a few numbers per series."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            new, best, *rest = _advance(np.array(row.sums, float), np.array(row.weights), np.array(row.best),
+                                        row.best_mae, row.bound)
+            out.append((row.series_id, new.tolist(), best.tolist(), *rest))
+        yield pd.DataFrame(out, columns=_STATE)
+
+
+def _whole_series(members: Sequence[str], y: str, tolerance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All passes over the cells of one series of bounded size."""
+    k = len(members)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                now, best, low = np.array(row.weights), np.array(row.best), row.best_mae
-                gain = 0.0
-                if low is None or np.isnan(low) or row.mae < low:
-                    gain = np.inf if low is None or np.isnan(low) else (low - row.mae) / max(low, 1e-300)
-                    best, low = now, row.mae
-                gram, sums = np.zeros((k, k)), np.array(row.sums)
-                for (i, j), x in zip(pairs, sums):
-                    gram[i, j] = gram[j, i] = x
-                cross = sums[len(pairs):]
-                new = _simplex_minimum(gram, cross) if np.isfinite(sums).all() and gram.any() else now
-                out.append((row.series_id, new.tolist(), best.tolist(), float(low), float(low), float(gain)))
-            yield pd.DataFrame(out, columns=["series_id", "weights", "best", "best_mae", "scale", "gain"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, t, m = pdf[list(members)].to_numpy(float), pdf[y].to_numpy(float), pdf["_m"].to_numpy(float)
+        now = best = np.full(k, 1 / k)
+        low, bound, floor = None, 0.0, 1.0
+        for step in range(WHOLE_PASSES):
+            e = t - p @ now
+            size = np.abs(e)
+            pull = m / np.maximum(size, max((low or 0.0) * floor, 1e-300)) if step else m
+            sign = pull * e if step else m * np.sign(e)
+            gram = p.T @ (p * pull[:, None])
+            sums = np.concatenate([[gram[i, j] for i in range(k) for j in range(i + 1)], p.T @ (pull * t), p.T @ sign,
+                                   [sign @ t, m.sum(), m @ size, m @ np.abs(t)]])
+            now, best, low, bound, gain, gap = _advance(sums, now, best, low, bound)
+            if k == 1 or gap is None or gap <= tolerance:
+                break
+            floor = max(LOWEST_FLOOR, floor / 4)
+        return pd.DataFrame([(pdf["series_id"].iloc[0], now.tolist(), best.tolist(), low, bound, gain, gap)], columns=_STATE)
 
     return run
 
 
 def search_weights(frame: DataFrame, members: Sequence[str], y: str = "y", split: str = "val",
-                   tolerance: float = 5e-4, most_passes: int = 40) -> DataFrame:
-    """(series_id, weights, mae): member weights that minimise the validation MAE.
-
-    Iteratively reweighted least squares: a pass sums, per series, the members' cross
-    products weighted by 1 / |error| and solves a small problem on the simplex; the same
-    steps serve any number of members. The floor under |error| falls from pass to pass, and the search
-    ends when it is low and no series gains more than ``tolerance``. The best weights met are
-    kept. A pass is one aggregation, written to the checkpoint folder: this function runs
+                   tolerance: float = 2e-3, most_passes: int = 40, whole: int = WHOLE_CELLS) -> DataFrame:
+    """(series_id, weights, mae, gap): member weights that minimise the validation MAE.
+
+    Cells with the same truth and forecasts are one row with a multiplicity, so forecasts that do not depend on the
+    step ahead cost one row per hour. Iteratively reweighted least squares: a pass sums, per series, the
+    members' cross products weighted by 1 / |error| and solves a small problem on the simplex; the same
+    steps serve any number of members. The floor under |error| falls from pass to pass.
+
+    The weighted errors are signs between -1 and 1, so the same pass gives a lower bound of the smallest MAE
+    (the dual problem's value). ``gap`` is what the MAE found lies above the best bound, relative to itself. A series
+    is done when its gap is at most ``tolerance``, or when a pass at the lowest floor gains less than a tenth of
+    that, or after ``most_passes``; ``gap`` says how good the result is then. Series of at most ``whole`` distinct
+    cells go through the same passes inside a task, in one job for all of them. The best weights met are kept. A pass is one aggregation, written to the checkpoint folder: this function runs
     jobs. At the end every weight is at least 0.001 and they sum to 1.
     """
     k = len(members)
     if not k:
         raise ValueError("an ensemble needs at least one member")
-    rows = cut_lineage(frame.where(F.col("split") == split).select("series_id", y, *members))
-    equal = F.array(*[F.lit(1.0 / k)] * k)
-    state = rows.select("series_id").distinct().select(
-        "series_id", equal.alias("weights"), equal.alias("best"),
-        F.lit(None).cast("double").alias("best_mae"), F.lit(None).cast("double").alias("scale"))
-    schema = ("series_id {}, weights array<double>, best array<double>, best_mae double, "
-              "scale double, gain double").format(rows.schema["series_id"].dataType.simpleString())
+    rows = cut_lineage(frame.where(F.col("split") == split).groupBy("series_id", y, *members).agg(
+        F.count(F.lit(1)).alias("_m")))
+    equal, unknown = F.array(*[F.lit(1.0 / k)] * k), F.lit(None).cast("double")
+    sizes = cut_lineage(rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("_cells")))
+    small, large = (sizes.where(c).select("series_id") for c in (F.col("_cells") <= whole, F.col("_cells") > whole))
+    schema = ("series_id {}, weights array<double>, best array<double>, best_mae double, bound double, "
+              "gain double, gap double").format(rows.schema["series_id"].dataType.simpleString())
+    at_once = cut_lineage(rows.join(small, "series_id").groupBy("series_id").applyInPandas(
+        _whole_series(members, y, tolerance), schema))
+    rows = rows.join(large, "series_id", "left_semi")
+    state = large.select(
+        "series_id", equal.alias("weights"), equal.alias("best"), unknown.alias("best_mae"), F.lit(0.0).alias("bound"),
+        unknown.alias("gain"), F.lit(float("inf")).alias("gap"))
     now = sum((F.col("weights")[i] * F.col(m) for i, m in enumerate(members)), F.lit(0.0))
-    floor = 1.0
-    for step in range(most_passes):
-        # Weights and scale are constant per series; as keys they need no second join.
-        mixed = rows.join(state.drop("gain"), "series_id").withColumn("_e", F.abs(F.col(y) - now))
-        pull = 1.0 / F.greatest(F.col("_e"), F.greatest(
-            F.coalesce("scale", F.lit(1.0)) * floor, F.lit(1e-300)))
-        mixed = mixed.withColumn("_p", pull if step else F.lit(1.0))
-        cells = [F.sum(F.col("_p") * F.col(a) * F.col(b))
-                 for i, a in enumerate(members) for b in members[:i + 1]]
-        cells += [F.sum(F.col("_p") * F.col(y) * F.col(m)) for m in members]
-        sums = mixed.groupBy("series_id", "weights", "best", "best_mae").agg(
-            F.avg("_e").alias("mae"), *[c.alias(f"_s{i}") for i, c in enumerate(cells)])
-        sums = sums.select("series_id", "weights", "best", "best_mae", "mae", F.array(
-            *[F.col(f"_s{i}") for i in range(len(cells))]).alias("sums"))
-        state = cut_lineage(sums.mapInPandas(_step(members), schema))
-        gain = state.agg(F.max("gain")).first()[0]
-        if k == 1 or gain is None or (step >= 3 and floor <= 1e-3 and gain <= tolerance):
+    floor, going = 1.0, f"gap > {tolerance!r}"
+    for step in range(most_passes if large.take(1) else 0):
+        # Series whose gap is small enough, or cannot be told, or that gain no more take no further part.
+        still = state.where(going)
+        mixed = rows.join(still.select("series_id", "weights", "best_mae"), "series_id").withColumn("_e", F.col(y) - now)
+        size = F.abs("_e")
+        least = F.greatest(F.coalesce("best_mae", F.lit(1.0)) * floor, F.lit(1e-300))
+        mixed = mixed.withColumn("_p", F.col("_m") / F.greatest(size, least) if step else F.col("_m").cast("double"))
+        sign = F.col("_p") * F.col("_e") if step else F.col("_m") * F.signum("_e")
+        cells = [F.col("_p") * F.col(a) * F.col(b) for i, a in enumerate(members) for b in members[:i + 1]]
+        cells += [F.col("_p") * F.col(y) * F.col(m) for m in members]
+        cells += [sign * F.col(m) for m in members]
+        cells += [sign * F.col(y), F.col("_m").cast("double"), F.col("_m") * size, F.col("_m") * F.abs(F.col(y))]
+        sums = mixed.groupBy("series_id").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(cells)]).select(
+            "series_id", F.array(*[F.col(f"_s{i}") for i in range(len(cells))]).alias("sums"))
+        moved = sums.join(still.select("series_id", "weights", "best", "best_mae", "bound"), "series_id").mapInPandas(
+            _step, schema)
+        state = cut_lineage(moved.unionByName(state.where(f"gap IS NULL OR NOT ({going})")))
+        if floor == LOWEST_FLOOR:
+            going = f"gap > {tolerance!r} AND gain > {tolerance / 10!r}"
+        if k == 1 or not state.where(going).take(1):
             break
-        floor = max(1e-4, floor / 4)
+        floor = max(LOWEST_FLOOR, floor / 4)
     floored = F.transform("best", lambda w: F.greatest(w, F.lit(MIN_WEIGHT)))
     total = F.aggregate(floored, F.lit(0.0), lambda a, w: a + w)
-    return state.select("series_id", F.transform(floored, lambda w: w / total).alias("weights"),
-                        F.col("best_mae").alias("mae"))
+    return state.unionByName(at_once).select("series_id", F.transform(floored, lambda w: w / total).alias("weights"),
+                        F.col("best_mae").alias("mae"), "gap")
 
 
 def weight_map(weights: DataFrame, members: Sequence[str]) -> DataFrame:

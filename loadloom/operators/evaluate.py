@@ -42,14 +42,17 @@ def subtract_bias(df: DataFrame, bias: DataFrame, keys: Sequence[str] = BY_MODEL
     )
 
 
-def evaluate_models(df: DataFrame, horizon: int, order: str = "time") -> DataFrame:
+def evaluate_models(df: DataFrame, horizon: int, order: str = "time", first: int | None = None) -> DataFrame:
     """Scores, residual diagnostics and the composite per (series, model).
 
-    ``order="time"`` takes the residuals of each model's shortest step, so lag 24 is a day. ``"flat"`` reads
+    ``order="time"`` takes the residuals of each model's shortest step, so lag 24 is a day; ``first`` names it
+    where it is the same for all, which saves a pass over the rows. ``"flat"`` reads
     all residuals in (origin, h) order, where lag 24 is the same h one origin later.
     """
     resid = df.withColumn("resid", F.col("y") - F.col("y_pred"))
-    if order == "time":
+    if order == "time" and first is not None:
+        resid = resid.where(F.col("h") == first).withColumn("pos", F.col("origin_idx"))
+    elif order == "time":
         nearest = resid.groupBy(*BY_MODEL).agg(F.min("h").alias("_first"))
         resid = resid.join(nearest, list(BY_MODEL)).where(F.col("h") == F.col("_first")).withColumn(
             "pos", F.col("origin_idx"))

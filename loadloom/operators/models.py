@@ -1,7 +1,7 @@
-"""Ridge and boosted-tree forecasters on per-origin features, via MLlib.
+"""Ridge and boosted-tree forecasters on per-origin features.
 
-A forecaster is a PipelineModel: one assembler and one regression per step ahead. All
-horizons share one cached feature table, so the windows are computed once.
+A forecaster is a PipelineModel: one linear stage for all steps ahead, or an assembler and one tree regression per
+step. All horizons share one feature table, so the windows are computed once.
 """
 
 from __future__ import annotations
@@ -10,17 +10,16 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import CHANNELS, ForecastConfig, TreeConfig
 from .features import feature_table, unscale
+from .linear import LinearSteps, cross_products, linear_steps
 from .windows import check_latest, lag_feature_names, lag_features
 
 KINDS = ("ridge", "gbt")
@@ -60,58 +59,65 @@ def _side_by_side(fit: Callable[[int], Model], steps: Sequence[int], threads: in
         return pool.map(inheritable_thread_target(session)(fit), steps)
 
 
+def fit_ridges(table: DataFrame, cfg: ForecastConfig, names: Sequence[str], alphas: Sequence[float],
+               horizons: Sequence[int] | None = None) -> list[PipelineModel]:
+    """Ridge regressions of all steps ahead on the train rows, one model per alpha, from one pass."""
+    steps = _horizons(cfg, horizons)
+    products = cross_products(table.where(F.col("split") == "train"), names, steps)
+    return [PipelineModel([m]) for m in linear_steps(products, names, steps, alphas)]
+
+
 def fit_ridge(table: DataFrame, cfg: ForecastConfig, names: Sequence[str], alpha: float = 1.0,
               horizons: Sequence[int] | None = None) -> PipelineModel:
-    """Ridge regression per step ahead on the train rows.
+    """Ridge regression per step ahead on the train rows; ``alpha`` is the textbook one (Σ r² + α‖w‖²)."""
+    return fit_ridges(table, cfg, names, [alpha], horizons)[0]
 
-    MLlib divides the loss by n and scales the label by its standard deviation; the
-    penalty below undoes both, so ``alpha`` is the textbook one (Σ r² + α‖w‖²).
-    Features whose train values are the same to nine digits are left out first, whatever
-    their unit: they get weight 0 anyway, but make the normal equations singular.
-    """
-    steps = _horizons(cfg, horizons)
-    assembler = VectorAssembler(inputCols=list(names), outputCol="all_features")
-    labels = [F.col("y")[h - 1].alias(f"label_{h}") for h in steps]
-    raw = assembler.transform(table.where(F.col("split") == "train")).select("all_features", *labels)
-    with held(raw):
-        ends = raw.select(Summarizer.metrics("max", "min").summary(F.col("all_features")).alias("s")).select(
-            "s.max", "s.min").first()
-        high, low = ends["max"].toArray(), ends["min"].toArray()
-        varied = np.flatnonzero(high - low > 1e-9 * np.maximum(np.abs(high), np.abs(low))).tolist()
-        chosen = VectorSlicer(inputCol="all_features", outputCol="features", indices=varied or [0])
-        train = chosen.transform(raw).select("features", *[f"label_{h}" for h in steps])
-        spread = train.agg(F.count(F.lit(1)).alias("n"),
-                           *[F.stddev_pop(f"label_{h}").alias(f"s_{h}") for h in steps]).first()
 
-        def fit(h: int):
-            penalty = alpha * (spread[f"s_{h}"] or 0.0) / max(spread["n"], 1)
-            return LinearRegression(
-                featuresCol="features", labelCol=f"label_{h}", predictionCol=f"pred_{h}",
-                regParam=penalty, elasticNetParam=0.0, standardization=False,
-                solver="normal" if len(names) <= 4096 else "auto").fit(train)
-
-        fitted = _side_by_side(fit, steps)
-    return PipelineModel([assembler, chosen, *fitted])
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Rounds up to the lowest validation error, and whether ``patience`` more rounds brought no lower
+    one; later rounds do not count then."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def fit_gbt(table: DataFrame, cfg: ForecastConfig, names: Sequence[str],
             trees: TreeConfig = TreeConfig(), horizons: Sequence[int] | None = None
             ) -> PipelineModel:
-    """Boosted trees per step ahead; boosting stops where the validation error stops falling."""
+    """Boosted trees per step ahead with early stopping by patience.
+
+    Every round is scored on the validation rows. Boosting ends once ``trees.patience`` rounds in a row bring
+    no lower error, and the model keeps the rounds up to the lowest. MLlib cannot resume a fit, so the number of rounds
+    doubles from fit to fit; with one seed a shorter fit is the beginning of a longer one.
+    """
     steps = _horizons(cfg, horizons)
     assembler = VectorAssembler(inputCols=list(names), outputCol="features")
     labels = [F.col("y")[h - 1].alias(f"label_{h}") for h in steps]
-    data = (assembler.transform(table.where(F.col("split").isin("train", "val")))
-            .select("features", *labels, (F.col("split") == "val").alias("is_val")))
+    data = assembler.transform(table.where(F.col("split").isin("train", "val"))).select("features", *labels, "split")
     with held(data):
+        train, val = (data.where(F.col("split") == s) for s in ("train", "val"))
+        checked = bool(val.take(1))
+
         def fit(h: int):
-            return GBTRegressor(
+            regressor = GBTRegressor(
                 featuresCol="features", labelCol=f"label_{h}", predictionCol=f"pred_{h}",
-                maxIter=trees.rounds, maxDepth=trees.depth, stepSize=trees.rate,
+                maxDepth=trees.depth, stepSize=trees.rate,
                 subsamplingRate=trees.subsample, minInstancesPerNode=trees.min_child,
-                featureSubsetStrategy=str(trees.colsample), validationIndicatorCol="is_val",
-                validationTol=0.0,
-                seed=42).fit(data)
+                featureSubsetStrategy=str(trees.colsample), seed=42)
+            rounds = min(trees.rounds, 2 * trees.patience) if checked else trees.rounds
+            while True:
+                model = regressor.setMaxIter(rounds).fit(train)
+                if not checked:
+                    return model
+                errors = model.evaluateEachIteration(val, "squared")
+                best, done = best_round(errors, trees.patience)
+                if done or rounds == trees.rounds:
+                    return model if best == rounds else regressor.setMaxIter(best).fit(train)
+                rounds = min(trees.rounds, 2 * rounds)
 
         fitted = _side_by_side(fit, steps)
     return PipelineModel([assembler, *fitted])
@@ -128,13 +134,17 @@ def fit_forecaster(kind: str, table: DataFrame, cfg: ForecastConfig, names: Sequ
 
 
 def regressions(model: PipelineModel) -> list:
-    """The per-step regression stages."""
-    return [s for s in model.stages if hasattr(s, "getPredictionCol")]
+    """The regression stages: one for all steps, or one per step."""
+    return [s for s in model.stages if isinstance(s, LinearSteps) or hasattr(s, "getPredictionCol")]
 
 
 def fitted_horizons(model: PipelineModel) -> list[int]:
     """Steps ahead the model was fitted for."""
-    return [int(s.getPredictionCol().removeprefix("pred_")) for s in regressions(model)]
+    out: list[int] = []
+    for s in regressions(model):
+        out += s.getOrDefault(s.steps) if isinstance(s, LinearSteps) else [
+            int(s.getPredictionCol().removeprefix("pred_"))]
+    return out
 
 
 def predict_long(model: PipelineModel, table: DataFrame, name: str,

@@ -14,7 +14,7 @@ from ..session import cut_lineage
 from ..sources.tables import write_results_csv
 from .ensemble import search_weights, side_by_side, weighted_by_series
 from .evaluate import evaluate_models
-from .models import (KINDS, feature_names, fit_forecaster, held, model_table, predict_long,
+from .models import (KINDS, feature_names, fit_forecaster, fit_ridges, held, model_table, predict_long,
                      regressions)
 from .windows import NAIVES, forecast_frame, to_long
 
@@ -23,8 +23,7 @@ def model_size(model: PipelineModel) -> int:
     """Coefficients of linear stages plus nodes of tree stages."""
     total = 0
     for stage in regressions(model):
-        total += stage.totalNumNodes if hasattr(stage, "totalNumNodes") else (
-            stage.coefficients.size + 1)
+        total += stage.totalNumNodes if hasattr(stage, "totalNumNodes") else stage.size
     return total
 
 
@@ -34,12 +33,15 @@ def grid_search(kind: str, table: DataFrame, cfg: ForecastConfig, names: Sequenc
     """Fit each parameter set on train, score it on the chronological validation split.
 
     Returns the sweep table (params, val_mae, size, used) and the best parameters. With
-    ``target_size`` models more than 50 % off that size do not take part.
+    ``target_size`` models more than 50 % off that size do not take part. All alphas of a ridge come from
+    one pass over the train rows.
     """
     rows, best = [], (float("inf"), {})
     with held(table):
+        shared = iter(fit_ridges(table, cfg, names, [p["alpha"] for p in grid], horizons)
+                      if kind == "ridge" and grid and all(set(p) == {"alpha"} for p in grid) else ())
         for params in grid:
-            model = fit_forecaster(kind, table, cfg, names, horizons=horizons, **params)
+            model = next(shared, None) or fit_forecaster(kind, table, cfg, names, horizons=horizons, **params)
             size = model_size(model)
             used = target_size is None or abs(size - target_size) / target_size <= 0.5
             error = None
@@ -97,7 +99,7 @@ def compare_models(df: DataFrame, cfg: ForecastConfig, kinds: Sequence[str] = ("
         wide = cut_lineage(side_by_side(rows, members))
         blend = weighted_by_series(wide, search_weights(wide, members), members)
         rows = rows.unionByName(blend.withColumn("model", F.lit("ensemble")).select(*LONG))
-    return evaluate_models(rows.where(F.col("split") == split), cfg.horizon)
+    return evaluate_models(rows.where(F.col("split") == split), cfg.horizon, first=min(horizons or (1,)))
 
 
 def history_sweep(df: DataFrame, cfg: ForecastConfig, histories: Sequence[int] = (24, 48, 72, 96),

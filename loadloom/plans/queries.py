@@ -22,6 +22,7 @@ from ..sources.grid import head, hourly_grid, with_positions, with_split
 
 CFG = ForecastConfig(history=48, horizon=24)
 BATTERY = Battery(cost=3_000_000.0)
+#: The hourly grid of the tables holds a load and a count; the other channels come from the clock.
 MODEL_CHANNELS = ("consumption", "hour_sin", "hour_cos", "is_peak", "is_weekend", "temperature",
                   "rolling_mean_24h", "lag_24h", "lag_168h")
 LAG_CHANNELS = ("consumption", "hour_sin", "is_peak")
@@ -421,7 +422,7 @@ def bias_correction(spark, sf):
 
 def scored_by_user(spark, sf) -> DataFrame:
     test = long_naive(by_user(spark, sf)).where(F.col("split") == "test")
-    return evaluate.evaluate_models(test, CFG.horizon)
+    return evaluate.evaluate_models(test, CFG.horizon, first=1)
 
 
 @query
@@ -490,7 +491,7 @@ def ensemble_fixed(spark, sf):
 def ensemble_search(spark, sf):
     frame = windows.forecast_frame(with_split(by_user(spark, sf)), CFG)
     found = ensemble.search_weights(frame, MEMBERS)
-    return shown(found.select("series_id", "mae", *[
+    return shown(found.select("series_id", "mae", "gap", *[
         F.col("weights")[i].alias(f"w_{m}") for i, m in enumerate(MEMBERS)]))
 
 
@@ -627,9 +628,8 @@ def typed_model_grid(spark, sf) -> DataFrame:
 @query
 def ridge(spark, sf):
     table = models.model_table(typed_model_grid(spark, sf), CFG, MODEL_CHANNELS)
-    names = models.feature_names(CFG, MODEL_CHANNELS)
-    with models.held(table):
-        model = models.fit_ridge(table, CFG, names)
+    table = cut_lineage(table)
+    model = models.fit_ridge(table, CFG, models.feature_names(CFG, MODEL_CHANNELS))
     return shown(models.predict_long(model, table.where(F.col("split") == "test"), "ridge"))
 
 
