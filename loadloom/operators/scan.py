@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.weather import clip, sigmoid
 from ..session import cut_lineage
 from .blocks import BLOCK_ROWS, Blocks
+from .pieces import Pieces
 
 CHUNK = "_chunk"
 Step = Callable[[dict[str, np.ndarray], float], tuple[dict[str, np.ndarray], float]]
@@ -18,7 +19,8 @@ Step = Callable[[dict[str, np.ndarray], float], tuple[dict[str, np.ndarray], flo
 
 def state_scan(df: DataFrame, step: Step, init: float, outputs: Sequence[str],
                keys: Sequence[str] = ("series_id",), pos: str = "pos",
-               horizon: int | None = None, chunk_rows: int = BLOCK_ROWS) -> DataFrame:
+               horizon: int | None = None, chunk_rows: int = BLOCK_ROWS,
+               summary: Callable[[dict[str, np.ndarray]], Pieces] | None = None) -> DataFrame:
     """Run ``step`` along each key in ``pos`` order and add its double ``outputs``.
 
     ``step(columns, state)`` gets one chunk's columns as arrays in order and the state
@@ -30,6 +32,10 @@ def state_scan(df: DataFrame, step: Step, init: float, outputs: Sequence[str],
     sequential one to the last bit. Recurrences that forget their start settle in a few
     rounds. No task ever holds more than one chunk.
 
+    Where the map of a chunk is known without its entry state, ``summary(columns)`` gives it as
+    :class:`Pieces`. Then nothing is guessed and nothing repeated: one pass maps the chunks, the entry
+    states follow from one row per chunk, a second pass over the same shuffle fills the rows.
+
     ``horizon`` keeps the first rows of each key and, when it fits one chunk, makes the
     whole scan a single lazy pass.
     """
@@ -43,6 +49,8 @@ def state_scan(df: DataFrame, step: Step, init: float, outputs: Sequence[str],
         last = chunked.agg(F.max(CHUNK)).first()[0] or 0
     if last == 0:
         rows = chunked.withColumn("_entry", F.lit(float(init)))
+    elif summary is not None:
+        rows = chunked.join(_entries(chunked, summary, float(init), keys, pos), [*keys, CHUNK])
     else:
         chunked = cut_lineage(chunked)
         rows = chunked.join(_settle(chunked, step, float(init), keys, pos), [*keys, CHUNK])
@@ -59,6 +67,35 @@ def state_scan(df: DataFrame, step: Step, init: float, outputs: Sequence[str],
     return rows.groupBy(*keys, CHUNK).applyInPandas(run, schema)
 
 
+def _entries(chunked: DataFrame, summary: Callable[[dict[str, np.ndarray]], Pieces], init: float,
+             keys: list[str], pos: str) -> DataFrame:
+    """(keys, chunk, _entry) from the maps of the chunks. A key without a chunk in between goes on from
+    the chunk before the gap."""
+    names = [c for c in chunked.columns if c != CHUNK]
+    own = [*[chunked.schema[k] for k in keys], T.StructField(CHUNK, T.LongType())]
+    numbers = T.ArrayType(T.DoubleType())
+    maps = T.StructType([*own, T.StructField("_starts", numbers), T.StructField("_fixed", T.ArrayType(T.BooleanType())),
+                         T.StructField("_values", numbers), T.StructField("_top", T.DoubleType())])
+
+    def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos, ignore_index=True)
+        made = summary({c: pdf[c].to_numpy() for c in names})
+        starts, fixed, values = map(list, zip(*made.pieces))
+        return pdf[[*keys, CHUNK]].iloc[:1].assign(_starts=[starts], _fixed=[fixed], _values=[values], _top=made.top)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK, ignore_index=True)  # one row per chunk
+        state, entries = init, []
+        for row in pdf.itertuples(index=False, name=None):
+            entries.append(state)
+            starts, fixed, values, top = row[-4:]
+            state = Pieces(tuple(zip(map(float, starts), map(bool, fixed), map(float, values))), top)(state)
+        return pdf[[*keys, CHUNK]].assign(_entry=entries)
+
+    mapped = chunked.groupBy(*keys, CHUNK).applyInPandas(chunk_map, maps)
+    return mapped.groupBy(*keys).applyInPandas(walk, T.StructType([*own, T.StructField("_entry", T.DoubleType())]))
+
+
 def _settle(chunked: DataFrame, step: Step, init: float, keys: list[str], pos: str) -> DataFrame:
     """(keys, chunk, _entry): the true entry state of every chunk."""
     names = [c for c in chunked.columns if c != CHUNK]
