@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import stats
-from .blocks import BLOCK, Blocks, running_sum, value_rank
+from .blocks import BLOCK, BLOCK_ROWS, Blocks, running_sum, value_rank
 
 SERIES = ("series_id",)
 
@@ -25,23 +25,27 @@ def flat_position(horizon: int) -> Column:
 
 
 def _lag_sums(df: DataFrame, value: str, lags: Sequence[int], keys: Sequence[str], pos: str
-              ) -> tuple[DataFrame, dict[str, list[Column]]]:
-    """Rows with one lag column per k, and the three sums each lag needs."""
+              ) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with one lag column per k, and the three aggregates each lag needs.
+
+    They are central moments of the pairs, so a large mean costs no digits.
+    """
     blocks = Blocks(keys=keys, pos=pos, before=max(lags))
     ordered = blocks.window()
     rows = blocks.core(blocks.spread(df.select(*keys, pos, value)).withColumns(
         {f"_l{k}": F.lag(value, k).over(ordered) for k in lags}))
-    sums = {}
+    x, sums = F.col(value), {}
     for k in lags:
         back = F.col(f"_l{k}")
-        sums[f"_xy{k}"] = F.sum(F.col(value) * back)
-        sums[f"_xs{k}"] = F.sum(F.when(back.isNotNull(), F.col(value)) + back)
+        sums[f"_cov{k}"] = F.covar_pop(x, back)
+        sums[f"_mx{k}"] = F.avg(F.when(back.isNotNull(), x))
+        sums[f"_my{k}"] = F.avg(F.when(x.isNotNull(), back))
     return rows, sums
 
 
 def _covariance_sum(k: int, n: Column, mean: Column) -> Column:
-    """Σ (x_t − m)(x_{t−k} − m) from the raw sums of lag k."""
-    return F.col(f"_xy{k}") - mean * F.col(f"_xs{k}") + (n - k) * mean * mean
+    """Σ (x_t − m)(x_{t−k} − m) from the moments of lag k."""
+    return (n - k) * (F.col(f"_cov{k}") + (F.col(f"_mx{k}") - mean) * (F.col(f"_my{k}") - mean))
 
 
 def autocorrelation(df: DataFrame, value: str, lags: Sequence[int],
@@ -64,31 +68,59 @@ def autocorrelation(df: DataFrame, value: str, lags: Sequence[int],
     return per.select(*keys, "n", *out)
 
 
+def _block_products(x: np.ndarray, ok: np.ndarray, first: int, max_lag: int) -> tuple[np.ndarray, ...]:
+    """(pairs, Σ x_t + x_{t−k}, Σ x_t x_{t−k}) at the lags 0..max_lag over the rows t from ``first`` on.
+
+    One zero-padded Fourier transform of each column gives all lags; the flags ``ok`` go the same
+    way, so rows without a value take no part and the others keep their distance.
+    """
+    size = 1 << int(len(x) + max_lag - 1).bit_length()
+    x, flag = np.where(ok, x, 0.0), ok.astype(float)
+    home = np.arange(len(x)) >= first
+    fx, ff = np.fft.rfft(x * home, size), np.fft.rfft(flag * home, size)
+    bx, bf = np.fft.rfft(x, size).conj(), np.fft.rfft(flag, size).conj()
+    pairs, sums, products = np.fft.irfft(np.stack([ff * bf, fx * bf + ff * bx, fx * bx]), size)[:, :max_lag + 1]
+    pairs = np.rint(pairs).astype(np.int64)
+    return pairs, np.where(pairs, sums, 0.0), np.where(pairs, products, 0.0)
+
+
 def lag_products(df: DataFrame, value: str, max_lag: int, keys: Sequence[str] = SERIES,
-                 pos: str = "pos") -> DataFrame:
-    """(keys, lag, n, mean, c): Σ of demeaned products for every lag 0..max_lag.
+                 pos: str = "pos", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, lag, n, mean, c): Σ of demeaned products for every lag 0..max_lag, as far as there are pairs.
 
-    The pairs of each row with its predecessors are summed before they are shuffled:
-    max_lag + 1 rows per key and task.
+    A block with its ``max_lag`` rows before it gives the sums of all lags by Fourier transforms and sends
+    max_lag + 1 rows to the shuffle. The key's mean is taken off first, so a large mean costs no digits. NULL values
+    keep their place, so the lags stay right; such pairs do not count.
     """
     keys = list(keys)
-    blocks = Blocks(keys=keys, pos=pos, before=max_lag)
-    rows = blocks.spread(df.select(*keys, pos, value)).withColumn(
-        "_w", F.reverse(F.collect_list(F.struct(F.col(value).alias("v"))).over(
-            blocks.frame(-max_lag, 0))))
-    # As structs, NULL values keep their place, so the lags stay right; such pairs do not count.
-    pairs = blocks.core(rows).where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_x"), F.posexplode("_w").alias("lag", "_s")).select(
-        *keys, "lag", "_x", F.col("_s.v").alias("_y")).where(F.col("_y").isNotNull())
-    sums = pairs.groupBy(*keys, "lag").agg(
-        F.count(F.lit(1)).alias("_pairs"), F.sum(F.col("_x") * F.col("_y")).alias("_xy"),
-        F.sum(F.col("_x") + F.col("_y")).alias("_xs"))
+    blocks = Blocks(keys=keys, pos=pos, before=max_lag, rows=block_rows)
+    size = blocks.rows
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    rows = blocks.spread(df.join(means, keys).select(
+        *keys, pos, "_mean", (F.col(value) - F.col("_mean")).alias("_x"), F.col(value).isNotNull().alias("_ok")))
+
+    def block_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = int(pdf[BLOCK].iloc[0]) * size
+        at = pdf[pos].to_numpy() - (start - max_lag)
+        x, ok = np.zeros(at.max() + 1), np.zeros(at.max() + 1, bool)
+        x[at], ok[at] = pdf["_x"].to_numpy(float), pdf["_ok"].to_numpy(bool)
+        pairs, sums, products = _block_products(x, ok, max_lag, max_lag)
+        out = pd.DataFrame({"lag": np.arange(max_lag + 1, dtype=np.int32), "_pairs": pairs, "_xs": sums, "_xy": products,
+                            "_mean": pdf["_mean"].iloc[0]})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[out["_pairs"] > 0]
+
+    schema = T.StructType([
+        *[df.schema[k] for k in keys], T.StructField("lag", T.IntegerType()), T.StructField("_pairs", T.LongType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("_xs", "_xy", "_mean")]])
+    sums = rows.groupBy(*keys, BLOCK).applyInPandas(block_sums, schema).groupBy(*keys, "lag").agg(
+        *[F.sum(c).alias(c) for c in ("_pairs", "_xs", "_xy")], F.max("_mean").alias("_mean"))
     per_key = Window.partitionBy(*keys)  # max_lag + 1 rows
-    n = F.max("_pairs").over(per_key)
-    mean = F.max(F.when(F.col("lag") == 0, F.col("_xs") / (2.0 * F.col("_pairs")))).over(per_key)
+    off = F.max(F.when(F.col("lag") == 0, F.col("_xs") / (2.0 * F.col("_pairs")))).over(per_key)
     return sums.select(
-        *keys, "lag", n.alias("n"), mean.alias("mean"),
-        (F.col("_xy") - mean * F.col("_xs") + F.col("_pairs") * mean * mean).alias("c"))
+        *keys, "lag", F.max("_pairs").over(per_key).alias("n"), (F.col("_mean") + off).alias("mean"),
+        (F.col("_xy") - off * F.col("_xs") + F.col("_pairs") * off * off).alias("c"))
 
 
 def acf_profile(df: DataFrame, value: str, max_lag: int = 200, keys: Sequence[str] = SERIES,
@@ -164,12 +196,15 @@ def residual_summary(df: DataFrame, resid: str = "resid", keys: Sequence[str] =
 def ljung_box(df: DataFrame, resid: str = "resid", keys: Sequence[str] = SERIES,
               pos: str = "pos", at: Sequence[int] = (10, 20)) -> DataFrame:
     """Q statistic and p-value at each (even) number of lags."""
-    acf = autocorrelation(df, resid, tuple(range(1, max(at) + 1)), keys, pos, eps=0.0)
-    n = F.col("n")
-    q = {f"lb_{m}": n * (n + 2) * sum((F.col(f"acf_{k}") * F.col(f"acf_{k}") / (n - k)
-                                       for k in range(1, m + 1)), F.lit(0.0)) for m in at}
+    per_key = Window.partitionBy(*keys)
+    n, zero = F.col("n"), F.max(F.when(F.col("lag") == 0, F.col("c"))).over(per_key)
+    terms = lag_products(df, resid, max(at), keys, pos).select(
+        *keys, "n", "lag", F.when(zero != 0, F.col("c") / zero).alias("_r")).where(n > F.col("lag"))
+    part = F.col("_r") * F.col("_r") / (n - F.col("lag"))
+    q = terms.groupBy(*keys, "n").agg(*[
+        F.sum(F.when(F.col("lag").between(1, m), part)).alias(f"_q{m}") for m in at])
     # The p-value mentions the statistic many times, so it refers to a finished column.
-    return acf.select(*keys, "n", *[c.alias(name) for name, c in q.items()]).withColumns(
+    return q.select(*keys, "n", *[F.when(n > m, n * (n + 2) * F.col(f"_q{m}")).alias(f"lb_{m}") for m in at]).withColumns(
         {f"lb_p_{m}": stats.chi2_tail_even(F.col(f"lb_{m}"), m) for m in at})
 
 

@@ -582,6 +582,24 @@ d AS (SELECT a.series_id, k, sum(a.x * b.x) AS c FROM m a CROSS JOIN (SELECT unn
       JOIN m b ON b.series_id = a.series_id AND b.pos = a.pos - k GROUP BY a.series_id, k)
 SELECT series_id, CAST(k AS INTEGER) AS lag, {r('c / c0')} AS acf FROM d JOIN z USING (series_id)"""
 
+# Durbin's recursion on lists; ``rho`` starts at lag 0, ``phi`` at lag 1.
+ORACLES["pacf"] = f"""
+WITH RECURSIVE {grid('event_type')},
+m AS (SELECT series_id, pos, load - avg(load) OVER (PARTITION BY series_id) AS x FROM g),
+d AS (SELECT a.series_id, k, sum(a.x * b.x) AS c FROM m a CROSS JOIN (SELECT unnest(range(0, 51)) AS k) ks
+      JOIN m b ON b.series_id = a.series_id AND b.pos = a.pos - k GROUP BY a.series_id, k),
+ac AS (SELECT series_id, list(c ORDER BY k) AS cs FROM d GROUP BY series_id),
+rh AS (SELECT series_id, list_transform(cs, lambda c: c / cs[1]) AS rho FROM ac),
+st AS (
+  SELECT series_id, rho, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS pacf FROM rh
+  UNION ALL
+  SELECT series_id, rho, k + 1, list_append(
+      list_transform(phi, lambda p, i: p - last * phi[k + 1 - i]), last), last
+  FROM (SELECT *, (rho[k + 2] - coalesce(list_sum(list_transform(phi, lambda p, i: p * rho[k + 2 - i])), 0))
+                  / (1 - coalesce(list_sum(list_transform(phi, lambda p, i: p * rho[i + 1])), 0)) AS last
+        FROM st WHERE k < 50) nx)
+SELECT series_id, CAST(k AS INTEGER) AS lag, {r('pacf')} AS pacf FROM st"""
+
 
 def residual_sql(series: str) -> str:
     """CTEs up to ``rs``: day-ahead residuals numbered from 0."""

@@ -210,3 +210,30 @@ def test_lag_products_keep_their_lags_around_nulls(spark):
     for lag in range(4):
         a, b = x[lag:] - mean, x[:len(x) - lag] - mean
         assert got[lag].n == 59 and got[lag].c == pytest.approx(np.nansum(a * b))
+
+
+def test_lag_products_over_short_blocks_equal_direct_sums(spark):
+    rng = np.random.default_rng(8)
+    x = 1e9 + rng.normal(size=700)  # the mean is 10^9 times the spread
+    gone = rng.random(700) < 0.1
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "pos": np.arange(700), "load": x, "gone": gone})).withColumn(
+        "load", F.when(~F.col("gone"), F.col("load")))
+    got = residuals.lag_products(df, "load", 40, block_rows=100).toPandas().sort_values("lag")
+    z = np.where(gone, 0.0, x - x[~gone].mean())
+    want = [(z[k:] * z[:700 - k]).sum() for k in range(41)]
+    np.testing.assert_allclose(got["c"], want, atol=1e-4)
+    assert set(got["n"]) == {int((~gone).sum())}
+
+
+def test_lag_sums_of_a_short_series_end_with_its_pairs(spark):
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "pos": np.arange(3), "resid": [1.0, 2.0, 4.0]}))
+    assert sorted(r.lag for r in residuals.lag_products(df, "resid", 10).collect()) == [0, 1, 2]
+    r = residuals.ljung_box(df).first()
+    assert r.n == 3 and r.lb_10 is None and r.lb_p_20 is None
+
+
+def test_autocorrelation_keeps_its_digits_beside_a_large_mean(spark):
+    x = np.random.default_rng(9).normal(size=400)
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "pos": np.arange(400), "resid": 1e8 + x}))
+    got = residuals.autocorrelation(df, "resid", (1, 24)).first()
+    assert got.acf_1 == pytest.approx(acf(x, 1), abs=1e-6) and got.acf_24 == pytest.approx(acf(x, 24), abs=1e-6)
