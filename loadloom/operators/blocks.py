@@ -73,13 +73,36 @@ def running_sum(df: DataFrame, value: str, out: str, keys: Sequence[str] = ("ser
     )
 
 
-def value_bin(x: Column) -> Column:
-    """Order-preserving bin of a value.
+BINS = 128
+#: Distinct values of a key that its borders are taken from.
+BORDER_SAMPLE = 64 * BINS
+_HASHES = 1 << 31
 
-    Built from square roots only, which are exactly rounded everywhere, so the same
-    value gets the same bin in every task and on every retry.
+
+def value_tallies(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, _v, _c, _bin): the distinct values of each key with their counts, in bins in the order of values.
+
+    The borders are quantiles of the key's own distinct values, so however the values lie, a bin holds about 1 / BINS of
+    them. Which values the borders come from is a matter of their hash alone: every task and every retry finds
+    the same ones. They shape the work, not the result. The bin is found by halving.
     """
-    return F.floor(F.signum(x) * F.sqrt(F.sqrt(F.abs(x))) * 64.0)
+    keys = list(keys)
+    tallies = (df.where(F.col(value).isNotNull())
+               .groupBy(*keys, (F.col(value) + F.lit(0.0)).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    sizes = tallies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
+    share = F.least(F.lit(1.0), BORDER_SAMPLE / F.col("_distinct"))
+    picked = tallies.join(sizes, keys).where(F.pmod(F.xxhash64("_v"), F.lit(_HASHES)) < share * _HASHES)
+    sample = picked.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    borders = sample.select(*keys, F.transform(
+        F.sequence(F.lit(1), F.lit(BINS - 1)),
+        lambda i: F.get("_s", F.floor(i * F.size("_s") / BINS).cast("int"))).alias("_borders"))
+    out = tallies.join(borders, keys, "left").withColumn("_bin", F.lit(0))
+    half = BINS // 2
+    while half:  # a key without borders stays in bin 0
+        out = out.withColumn("_bin", F.col("_bin") + F.when(
+            F.col("_v") >= F.get("_borders", F.col("_bin") + (half - 1)), half).otherwise(0))
+        half //= 2
+    return out.drop("_borders")
 
 
 def value_rank(df: DataFrame, value: str, keys: Sequence[str] = ("series_id",),
@@ -91,10 +114,7 @@ def value_rank(df: DataFrame, value: str, keys: Sequence[str] = ("series_id",),
     counts of lower bins give the offset.
     """
     keys = list(keys)
-    tallies = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bin", value_bin(F.col(value)))
-    )
+    tallies = value_tallies(df, value, keys).withColumnRenamed("_v", value)
     bins = tallies.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_rows"))
     lower = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bins.select(
@@ -122,11 +142,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     all the values of a key.
     """
     keys = list(keys)
-    tallies = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bin", value_bin(F.col("_v")))
-    )
+    tallies = value_tallies(df, value, keys)
     bins = tallies.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_rows"))
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     edges = bins.select(

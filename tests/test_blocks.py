@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from loadloom.operators.blocks import Blocks, exact_quantiles, running_sum, value_rank
+from loadloom.operators.blocks import BINS, Blocks, exact_quantiles, running_sum, value_rank, value_tallies
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,20 @@ def test_exact_quantiles_match_numpy_with_heavy_ties(spark):
     for k, v in values.items():
         for name, p in probs.items():
             assert got.loc[k, name] == pytest.approx(np.quantile(v, p), abs=1e-9)
+
+
+@pytest.mark.parametrize("shape", ["narrow", "outlier", "tails", "ties"])
+def test_no_bin_holds_much_more_than_its_share(spark, shape):
+    rng = np.random.default_rng(4)
+    x = {"narrow": rng.normal(57_000, 50, 40_000),
+         "outlier": np.r_[rng.normal(57_000, 50, 40_000), 1e15, -1e15],
+         "tails": rng.standard_cauchy(40_000),
+         "ties": np.r_[np.zeros(60_000), rng.exponential(1, 40_000)]}[shape]
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "v": x}))
+    bins = value_tallies(df, "v", ["series_id"]).groupBy("_bin").agg(
+        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).toPandas().sort_values("_bin")
+    assert bins["n"].sum() == len(set(x)) and bins["_bin"].between(0, BINS - 1).all()
+    assert bins["n"].max() <= 2 * len(set(x)) / BINS
+    assert (bins["lo"].to_numpy()[1:] > bins["hi"].to_numpy()[:-1]).all()
+    got = exact_quantiles(df, "v", {"q": 0.37}).first()
+    assert got.q == pytest.approx(np.quantile(x, 0.37), rel=1e-12)
