@@ -15,10 +15,10 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import CHANNELS, ForecastConfig, TreeConfig
-from .features import feature_table, unscale
+from .features import feature_table, reconstruct, unscale
 from .linear import LinearSteps, cross_products, linear_steps
 from .windows import check_latest, lag_feature_names, lag_features
 
@@ -149,18 +149,29 @@ def fitted_horizons(model: PipelineModel) -> list[int]:
 
 def predict_long(model: PipelineModel, table: DataFrame, name: str,
                  with_truth: bool = True) -> DataFrame:
-    """Long predictions in original units: (series_id, model, split, origin_ts, origin_idx, h, …)."""
+    """Long predictions in original units: (series_id, model, split, origin_ts, origin_idx, h, …).
+
+    Where the table carries the ``naive`` values of seasonal differences, they are added to prediction and
+    truth, and the scaled sums limited below at 0.
+    """
     steps = fitted_horizons(model)
     low, high = F.col("consumption_min"), F.col("consumption_max")
+    differenced = "naive" in table.columns
+
+    def back(scaled: str) -> Column:
+        return (reconstruct(F.col(scaled), F.col("_c.naive"), low, high) if differenced
+                else unscale(F.col(scaled), low, high))
+
     cells = F.array(*[
         F.struct(F.lit(h).alias("h"), F.col(f"pred_{h}").alias("p"),
-                 *([F.col("y")[h - 1].alias("t")] if with_truth else [])) for h in steps])
+                 *([F.col("y")[h - 1].alias("t")] if with_truth else []),
+                 *([F.col("naive")[h - 1].alias("naive")] if differenced else [])) for h in steps])
     keep = ["series_id", "origin_ts"] + (["split", "origin_idx", "split_n"] if with_truth else [])
     rows = model.transform(table).select(*keep, low, high, F.explode(cells).alias("_c"))
     out = [*keep[:1], F.lit(name).alias("model"), *keep[1:], F.col("_c.h").alias("h"),
-           unscale(F.col("_c.p"), low, high).alias("y_pred")]
+           back("_c.p").alias("y_pred")]
     if with_truth:
-        out.append(unscale(F.col("_c.t"), low, high).alias("y"))
+        out.append(back("_c.t").alias("y"))
     return rows.select(*out)
 
 
@@ -184,7 +195,8 @@ def score_latest(bundle: dict, df: DataFrame, value: str = "load") -> DataFrame:
         if part not in bundle:
             raise KeyError(f"bundle lacks {part!r}")
     config = bundle["config"]
-    cfg = ForecastConfig(history=int(config["history"]), horizon=int(config["horizon"]))
+    cfg = ForecastConfig(history=int(config["history"]), horizon=int(config["horizon"]),
+                         seasonal_diff=bool(config.get("seasonal_diff", False)))
     check_latest(df, cfg.history, ())
     table = latest_table(df, cfg, bundle["scaler"], tuple(config["channels"]), value)
     rows = predict_long(bundle["model"], table, config["model_name"], with_truth=False)

@@ -128,6 +128,22 @@ def walk_forward_view(frame: DataFrame) -> DataFrame:
     return frame.where(F.col("h") == 1)
 
 
+WEEK = 168
+
+
+def _seasonal_naive(blocks: Blocks, cfg: ForecastConfig, load: str) -> Column:
+    """Array of the naive forecasts of an origin's steps, from the window that ends there."""
+    def shifted(back: int) -> Column:
+        rows = F.collect_list(F.struct(F.col(load).alias("v"))).over(blocks.frame(1 - back, cfg.horizon - back))
+        return F.transform(rows, lambda s: F.greatest(s["v"], F.lit(0.0)))
+
+    daily = shifted(cfg.horizon)
+    if cfg.history < WEEK:
+        return daily
+    a, b = NAIVE_WEIGHTS
+    return F.zip_with(daily, shifted(cfg.history), lambda day, far: a * day + b * far)
+
+
 def lag_features(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
                  load: str = "consumption", raw_lags: bool = True,
                  carry: Sequence[str] = (), latest: bool = False) -> DataFrame:
@@ -137,8 +153,14 @@ def lag_features(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
     F-1 other channels, and six rolling statistics of every channel; T + 13 + (F-1) + 6F.
     Standard deviations are population ones. Frames longer than T are cut to T.
     ``latest`` gives the last row of each series instead of the origins with targets.
+
+    With ``cfg.seasonal_diff`` the targets are differences to the seasonal naive forecast, which the array
+    ``naive`` carries: the value ``horizon`` hours before the target, from a history of a week on mixed with
+    the value ``history`` hours before it. A negative naive value counts as 0.
     """
     t = cfg.history
+    if cfg.seasonal_diff and t < cfg.horizon:
+        raise ValueError("seasonal differences need a history no shorter than the horizon")
     blocks = Blocks(before=t, after=cfg.horizon)
     ordered = blocks.window()
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -180,6 +202,9 @@ def lag_features(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
         for c in channels:
             new[f"{c}_rs{width}"] = F.stddev_pop(c).over(frame(width))
     names = list(new)
+    if cfg.seasonal_diff:
+        new["naive"] = _seasonal_naive(blocks, cfg, load)
+        carry = (*carry, "naive")
     summed = blocks.spread(df).withColumns(
         {f"_sum_{c}": F.sum(c).over(upto) for c in dict.fromkeys((load, *channels))})
     if latest:
@@ -188,6 +213,8 @@ def lag_features(df: DataFrame, cfg: ForecastConfig, channels: Sequence[str],
         return rows.select("series_id", F.col("ts").alias("origin_ts"), *names, *carry)
     new["y"] = F.collect_list(load).over(blocks.frame(1, cfg.horizon))
     rows = blocks.core(summed.withColumns(new)).where(is_origin(cfg))
+    if cfg.seasonal_diff:
+        rows = rows.withColumn("y", F.zip_with("y", "naive", lambda y, naive: y - naive))
     return rows.select("series_id", "split", F.col("ts").alias("origin_ts"), "pos",
                        origin_idx(cfg).alias("origin_idx"), *names, "y", *carry)
 

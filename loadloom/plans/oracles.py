@@ -798,3 +798,15 @@ ORACLES["best_strategy"] = f"""
 WITH RECURSIVE {KPI}
 SELECT series_id, strategy AS best_strategy, {rr('net_pct')} FROM k
 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY k.net_pct DESC, ord) = 1"""
+
+# --- fitted models ------------------------------------------------------------------------------
+
+ORACLES["seasonal_targets"] = f"""
+WITH {grid('event_type')},
+mm AS (SELECT series_id, min(load) AS lo, max(load) AS hi FROM g WHERE split = 'train' GROUP BY series_id),
+sc AS (SELECT g.*, (load - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS x FROM g JOIN mm USING (series_id)),
+nv AS (SELECT *, greatest(lag(x, 24) OVER (PARTITION BY series_id ORDER BY ts), 0.0) AS naive FROM sc),
+tg AS (SELECT series_id, split, split_pos - h - 47 AS origin_idx, CAST(h AS INTEGER) AS h, x - naive AS y_diff, naive
+       FROM nv CROSS JOIN (SELECT unnest(range(1, 25)) AS h) hs
+       WHERE split_pos - h >= 47 AND split_pos - h + 24 < split_n)
+SELECT series_id, split, origin_idx, h, {rr('y_diff', 'naive')} FROM tg"""

@@ -47,7 +47,7 @@ def run_pipeline(hourly: DataFrame, cfg: ForecastConfig, battery: Battery,
             if bundle_path:
                 export_bundle(model, scaler_params(grid), {
                     "model_name": kind, "history": cfg.history, "horizon": cfg.horizon,
-                    "channels": list(channels)}, f"{bundle_path}/{kind}", evaluate.fit_bias(rows))
+                    "channels": list(channels), "seasonal_diff": cfg.seasonal_diff}, f"{bundle_path}/{kind}", evaluate.fit_bias(rows))
         # Every later stage reads the predictions; they are written once.
         long = cut_lineage(reduce(DataFrame.unionByName, predictions))
     # The blend of all models is one more model: weights from validation rows, scores on test.

@@ -7,6 +7,7 @@ of ``value`` per hour, and the event count serves as the second channel.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -625,6 +626,15 @@ def typed_model_grid(spark, sf) -> DataFrame:
     return with_split(by_type(spark, sf)).withColumn("temperature", F.col("n_obs") * 5.0)
 
 
+@query
+def seasonal_targets(spark, sf):
+    table = models.model_table(typed_model_grid(spark, sf), replace(CFG, seasonal_diff=True), ("consumption",))
+    cells = F.posexplode(F.arrays_zip("y", "naive")).alias("_at", "_c")
+    return shown(table.select("series_id", "split", "origin_idx", cells).select(
+        "series_id", "split", "origin_idx", (F.col("_at") + 1).alias("h"), F.col("_c.y").alias("y_diff"),
+        F.col("_c.naive").alias("naive")))
+
+
 @query
 def ridge(spark, sf):
     table = models.model_table(typed_model_grid(spark, sf), CFG, MODEL_CHANNELS)
