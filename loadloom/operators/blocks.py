@@ -79,16 +79,18 @@ BORDER_SAMPLE = 64 * BINS
 _HASHES = 1 << 31
 
 
-def value_tallies(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+def value_tallies(df: DataFrame, value: str, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """(keys, _v, _c, _bin): the distinct values of each key with their counts, in bins in the order of values.
 
+    A row counts once, or as often as the integer column ``weight`` says.
+
     The borders are quantiles of the key's own distinct values, so however the values lie, a bin holds about 1 / BINS of
     them. Which values the borders come from is a matter of their hash alone: every task and every retry finds
     the same ones. They shape the work, not the result. The bin is found by halving.
     """
     keys = list(keys)
     tallies = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, (F.col(value) + F.lit(0.0)).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+               .groupBy(*keys, (F.col(value) + F.lit(0.0)).alias("_v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")))
     sizes = tallies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
     share = F.least(F.lit(1.0), BORDER_SAMPLE / F.col("_distinct"))
     picked = tallies.join(sizes, keys).where(F.pmod(F.xxhash64("_v"), F.lit(_HASHES)) < share * _HASHES)
@@ -134,15 +136,15 @@ def value_rank(df: DataFrame, value: str, keys: Sequence[str] = ("series_id",),
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    keys: Sequence[str] = ("series_id",)) -> DataFrame:
+                    keys: Sequence[str] = ("series_id",), weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``.
 
-    Equal values are counted first. Bin counts then tell which bins hold the wanted
+    A row counts ``weight`` times, default once. Equal values are counted first. Bin counts then tell which bins hold the wanted
     order statistics, and only the values of those bins are ordered, so no task sees
     all the values of a key.
     """
     keys = list(keys)
-    tallies = value_tallies(df, value, keys)
+    tallies = value_tallies(df, value, keys, weight)
     bins = tallies.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_rows"))
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     edges = bins.select(

@@ -810,3 +810,39 @@ tg AS (SELECT series_id, split, split_pos - h - 47 AS origin_idx, CAST(h AS INTE
        FROM nv CROSS JOIN (SELECT unnest(range(1, 25)) AS h) hs
        WHERE split_pos - h >= 47 AND split_pos - h + 24 < split_n)
 SELECT series_id, split, origin_idx, h, {rr('y_diff', 'naive')} FROM tg"""
+
+# --- series in runs, windows from stored blocks ----------------------------------------------------
+
+ORACLES["runs"] = f"""
+WITH {grid('user_id')},
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY series_id, n_obs > 0 ORDER BY pos) AS island FROM g)
+SELECT series_id, pos AS start, CAST(1 AS BIGINT) AS length, n, {r('load')} AS load, n_obs FROM i WHERE n_obs > 0
+UNION ALL SELECT series_id, min(pos), count(*), any_value(n), 0.0, 0 FROM i WHERE n_obs = 0 GROUP BY series_id, island"""
+ORACLES["runs_dense"] = ORACLES["hourly_grid_by_user"]
+for name in ("describe", "moments", "hour_profile", "weekday_profile", "hour_weekday_pivot"):
+    ORACLES[f"runs_{name}"] = ORACLES[name]
+ORACLES["runs_lags"] = (
+    f"WITH {grid('user_id')}, d AS (SELECT series_id, pos, n, load, n_obs, "
+    + ", ".join(f"lag(load, {k}) OVER w AS lag_{k}" for k in (1, 24, 48, 168))
+    + " FROM g WINDOW w AS (PARTITION BY series_id ORDER BY ts)) SELECT series_id, pos, n, "
+    + rr("load", *[f"lag_{k}" for k in (1, 24, 48, 168)]) + " FROM d WHERE n_obs > 0")
+ORACLES["runs_acf"] = f"""
+WITH {grid('user_id')}, rs AS (SELECT series_id, pos, load AS resid FROM g),
+{acf_sql('rs', (1, 24, 48, 168), 'series_id', '0')}
+SELECT series_id, n, {rr('acf_1', 'acf_24', 'acf_48', 'acf_168')} FROM ac"""
+
+STORED = f"""WITH {features_sql()},
+d AS (SELECT series_id, split, ts, split_pos, split_n, consumption, {{columns}},
+        lead(consumption, 1) OVER w AS y_first, lead(consumption, 24) OVER w AS y_last FROM ft
+      WINDOW w AS (PARTITION BY series_id, split ORDER BY ts),
+             h AS (PARTITION BY series_id, split ORDER BY ts ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
+SELECT series_id, split, ts AS origin_ts, split_pos - 47 AS origin_idx, {{out}} FROM d
+WHERE split_pos >= 47 AND split_pos + 24 < split_n"""
+ORACLES["stored_windows"] = STORED.format(
+    columns=", ".join(f"avg({c}) OVER h AS {c}_mean, {c} AS {c}_last" for c in FEATURE_COLUMNS),
+    out=rr(*[f"{c}_{s}" for c in FEATURE_COLUMNS for s in ("mean", "last")], "y_first", "y_last"))
+ORACLES["stored_flat_windows"] = STORED.format(
+    columns="first_value(consumption) OVER h AS first, greatest("
+            + ", ".join(f"max({c}) OVER h" for c in FEATURE_COLUMNS) + ") AS top, ("
+            + " + ".join(f"sum({c}) OVER h" for c in FEATURE_COLUMNS) + ") / 1248 AS total",
+    out="CAST(1248 AS INTEGER) AS width, CAST(24 AS INTEGER) AS targets, " + rr("first", "top", "total"))

@@ -11,15 +11,16 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..config import STRATEGIES, Battery, ForecastConfig, TreeConfig
+from ..config import CHANNELS, STRATEGIES, Battery, ForecastConfig, TreeConfig
 from ..functions import scores, weather
 from ..functions.stats import tidy, tidy_small
 from ..operators import (calendar, decompose, ensemble, evaluate, features, models, profile,
-                         quality, residuals, scan, storage, sweep, windows)
+                         quality, residuals, scan, sparse, storage, sweep, window_store, windows)
 from ..session import cut_lineage, scratch_path
 from ..sources import cache, tables
 from ..sources.bundle import export_bundle, load_bundle
 from ..sources.grid import head, hourly_grid, with_positions, with_split
+from ..sources.runs import dense, hour_runs
 
 CFG = ForecastConfig(history=48, horizon=24)
 BATTERY = Battery(cost=3_000_000.0)
@@ -51,6 +52,11 @@ def by_user(spark: SparkSession, sf: str) -> DataFrame:
     return hourly_grid(tables.read_table(spark, sf, "events"), "user_id")
 
 
+def runs_by_user(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid of :func:`by_user` in runs."""
+    return hour_runs(tables.read_table(spark, sf, "events"), "user_id")
+
+
 def shown(df: DataFrame, *columns: str) -> DataFrame:
     """The columns (default all), doubles rounded for comparison."""
     names = columns or df.columns
@@ -620,6 +626,86 @@ def best_strategy(spark, sf):
     return shown(storage.best_strategy(storage.compare_strategies(by_user(spark, sf), BATTERY)))
 
 
+# --- series in runs -------------------------------------------------------------------------------
+
+@query
+def runs(spark, sf):
+    return shown(runs_by_user(spark, sf).drop("lo"))
+
+
+@query
+def runs_dense(spark, sf):
+    return shown(dense(runs_by_user(spark, sf)))
+
+
+@query
+def runs_describe(spark, sf):
+    return shown(sparse.describe(runs_by_user(spark, sf)))
+
+
+@query
+def runs_moments(spark, sf):
+    return shown(sparse.moments(runs_by_user(spark, sf)))
+
+
+@query
+def runs_hour_profile(spark, sf):
+    return shown(sparse.hour_profile(sparse.week_table(runs_by_user(spark, sf))))
+
+
+@query
+def runs_weekday_profile(spark, sf):
+    return shown(sparse.weekday_profile(sparse.week_table(runs_by_user(spark, sf))))
+
+
+@query
+def runs_hour_weekday_pivot(spark, sf):
+    return shown(sparse.hour_weekday_pivot(sparse.week_table(runs_by_user(spark, sf))))
+
+
+@query
+def runs_lags(spark, sf):
+    return shown(sparse.lag_values(runs_by_user(spark, sf), (1, 24, 48, 168)))
+
+
+@query
+def runs_acf(spark, sf):
+    return shown(sparse.autocorrelation(runs_by_user(spark, sf), (1, 24, 48, 168)))
+
+
+# --- windows from stored blocks -----------------------------------------------------------------
+
+@query
+def stored_windows(spark, sf):
+    """All 26 channels of every window, read from blocks; reduced to means and ends in the task."""
+    channels = CHANNELS
+    path = scratch_path(spark, "windows")
+    window_store.write_blocks(typed_features(spark, sf), CFG, channels, path)
+
+    def reduce(x, y):
+        return {**{f"{c}_mean": x[:, :, i].mean(axis=1) for i, c in enumerate(channels)},
+                **{f"{c}_last": x[:, -1, i] for i, c in enumerate(channels)},
+                "y_first": y[:, 0], "y_last": y[:, -1]}
+
+    names = [*(f"{c}_mean" for c in channels), *(f"{c}_last" for c in channels), "y_first", "y_last"]
+    made = window_store.map_windows(spark.read.parquet(path), CFG, channels, reduce, names)
+    return made.select("series_id", "split", "origin_ts", "origin_idx",
+                       *[tidy_small(F.col(c)).alias(c) for c in names])
+
+
+@query
+def stored_flat_windows(spark, sf):
+    """All 26 channels of every window as one vector, from stored blocks."""
+    path = scratch_path(spark, "windows")
+    window_store.write_blocks(typed_features(spark, sf), CFG, CHANNELS, path)
+    rows = window_store.read_windows(spark.read.parquet(path), CFG, CHANNELS)
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(
+        "series_id", "split", "origin_ts", "origin_idx", F.size("x").alias("width"), F.size("y").alias("targets"),
+        *[tidy_small(c).alias(name) for name, c in (
+            ("first", F.col("x")[0]), ("top", F.array_max("x")), ("total", total / F.size("x")))])
+
+
 # --- fitted models -----------------------------------------------------------------------------
 
 def typed_model_grid(spark, sf) -> DataFrame:
