@@ -437,7 +437,7 @@ def lag_features_sql(channels: tuple[str, ...]) -> str:
             + rr(*cols) + " FROM d WHERE split_pos >= 47 AND split_pos + 24 < split_n")
 
 
-ORACLES["lag_features"] = lag_features_sql(("consumption", "hour_sin", "is_peak"))
+ORACLES["lag_features"] = lag_features_sql(FEATURE_COLUMNS)
 ORACLES["patches"] = f"""
 WITH {grid('event_type')},
 d AS (SELECT *, list(load) OVER h AS hist FROM g

@@ -24,10 +24,6 @@ from ..sources.runs import dense, hour_runs
 
 CFG = ForecastConfig(history=48, horizon=24)
 BATTERY = Battery(cost=3_000_000.0)
-#: The hourly grid of the tables holds a load and a count; the other channels come from the clock.
-MODEL_CHANNELS = ("consumption", "hour_sin", "hour_cos", "is_peak", "is_weekend", "temperature",
-                  "rolling_mean_24h", "lag_24h", "lag_168h")
-LAG_CHANNELS = ("consumption", "hour_sin", "is_peak")
 FITTED_HORIZONS = (1, 12, 24)
 SMALL_TREES = TreeConfig(rounds=4, depth=3)
 MEMBERS = ("naive_24", "naive_168", "naive_dual")
@@ -348,7 +344,7 @@ def naive_window_lag(spark, sf):
 
 @query
 def lag_features(spark, sf):
-    table = windows.lag_features(typed_features(spark, sf), CFG, LAG_CHANNELS).drop("pos", "y")
+    table = windows.lag_features(typed_features(spark, sf), CFG, CHANNELS).drop("pos", "y")
     # Scaled channels are small; only the ratio can be large.
     return table.select(*[
         c if c in ("series_id", "split", "origin_ts", "origin_idx")
@@ -723,16 +719,16 @@ def seasonal_targets(spark, sf):
 
 @query
 def ridge(spark, sf):
-    table = models.model_table(typed_model_grid(spark, sf), CFG, MODEL_CHANNELS)
+    table = models.model_table(typed_model_grid(spark, sf), CFG, CHANNELS)
     table = cut_lineage(table)
-    model = models.fit_ridge(table, CFG, models.feature_names(CFG, MODEL_CHANNELS))
+    model = models.fit_ridge(table, CFG, models.feature_names(CFG, CHANNELS))
     return shown(models.predict_long(model, table.where(F.col("split") == "test"), "ridge"))
 
 
 @query
 def gbt(spark, sf):
-    table = models.model_table(typed_model_grid(spark, sf), CFG, MODEL_CHANNELS)
-    names = models.feature_names(CFG, MODEL_CHANNELS)
+    table = models.model_table(typed_model_grid(spark, sf), CFG, CHANNELS)
+    names = models.feature_names(CFG, CHANNELS)
     with models.held(table):
         model = models.fit_gbt(table, CFG, names, SMALL_TREES, horizons=FITTED_HORIZONS)
     return shown(models.predict_long(model, table.where(F.col("split") == "test"), "gbt"))
@@ -740,8 +736,8 @@ def gbt(spark, sf):
 
 @query
 def ridge_grid_search(spark, sf):
-    table = models.model_table(typed_model_grid(spark, sf), CFG, MODEL_CHANNELS)
-    found, _ = sweep.grid_search("ridge", table, CFG, models.feature_names(CFG, MODEL_CHANNELS),
+    table = models.model_table(typed_model_grid(spark, sf), CFG, CHANNELS)
+    found, _ = sweep.grid_search("ridge", table, CFG, models.feature_names(CFG, CHANNELS),
                                  [{"alpha": a} for a in (0.1, 1.0, 10.0)])
     return shown(found)
 
@@ -749,26 +745,26 @@ def ridge_grid_search(spark, sf):
 @query
 def model_comparison(spark, sf):
     return shown(sweep.compare_models(typed_model_grid(spark, sf), CFG,
-                                      ("naive", "ridge", "ensemble"), MODEL_CHANNELS))
+                                      ("naive", "ridge", "ensemble"), CHANNELS))
 
 
 @query
 def history_sweep(spark, sf):
     return shown(sweep.history_sweep(typed_model_grid(spark, sf), CFG, (24, 48, 72, 96),
-                                     kinds=("naive", "ridge"), channels=MODEL_CHANNELS))
+                                     kinds=("naive", "ridge"), channels=CHANNELS))
 
 
 @query
 def bundle_score(spark, sf):
     grid = typed_model_grid(spark, sf)
-    table = models.model_table(grid, CFG, MODEL_CHANNELS)
-    names = models.feature_names(CFG, MODEL_CHANNELS)
+    table = models.model_table(grid, CFG, CHANNELS)
+    names = models.feature_names(CFG, CHANNELS)
     with models.held(table):
         model = models.fit_ridge(table, CFG, names)
         bias = cut_lineage(evaluate.fit_bias(models.predict_long(model, table, "ridge")))
     path = export_bundle(model, features.scaler_params(grid), {
         "model_name": "ridge", "history": CFG.history, "horizon": CFG.horizon,
-        "channels": list(MODEL_CHANNELS)}, scratch_path(spark, "bundle"), bias)
+        "channels": list(CHANNELS)}, scratch_path(spark, "bundle"), bias)
     return shown(models.score_latest(load_bundle(spark, path), grid))
 
 
