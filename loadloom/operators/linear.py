@@ -127,16 +127,31 @@ def linear_steps(products: CrossProducts, names: Sequence[str], steps: Sequence[
 
 
 class Ridge(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Estimator of :class:`LinearSteps` on rows with the feature columns and the array ``y`` of targets."""
+    """Estimator of :class:`LinearSteps` on rows with the feature columns and the array ``y`` of targets.
+
+    With ``split`` only the rows of that split are learned from.
+    """
 
     inputs, steps = LinearSteps.inputs, LinearSteps.steps
     alpha = Param(Params._dummy(), "alpha", "penalty α of Σ r² + α‖w‖²", TypeConverters.toFloat)
+    split = Param(Params._dummy(), "split", "rows to learn from; empty: all", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputs=None, steps=None, alpha=1.0):
+    def __init__(self, *, inputs=None, steps=None, alpha=1.0, split=""):
         super().__init__()
+        self._setDefault(alpha=1.0, split="")
         self._set(**self._input_kwargs)
 
+    def _solve(self, dataset: DataFrame, alphas: Sequence[float]) -> list[LinearSteps]:
+        names, steps, split = (self.getOrDefault(p) for p in (self.inputs, self.steps, self.split))
+        rows = dataset.where(F.col("split") == split) if split else dataset
+        return linear_steps(cross_products(rows, names, steps), names, steps, alphas)
+
     def _fit(self, dataset: DataFrame) -> LinearSteps:
-        names, steps = self.getOrDefault(self.inputs), self.getOrDefault(self.steps)
-        return linear_steps(cross_products(dataset, names, steps), names, steps, [self.getOrDefault(self.alpha)])[0]
+        return self._solve(dataset, [self.getOrDefault(self.alpha)])[0]
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[dict]) -> Iterator[tuple[int, LinearSteps]]:
+        """A model per parameter map; maps that name nothing but ``alpha`` share one pass over the rows."""
+        if not paramMaps or any(set(m) - {self.alpha} for m in paramMaps):
+            return super().fitMultiple(dataset, paramMaps)
+        return enumerate(self._solve(dataset, [m.get(self.alpha, self.getOrDefault(self.alpha)) for m in paramMaps]))

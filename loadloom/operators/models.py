@@ -154,9 +154,13 @@ def predict_long(model: PipelineModel, table: DataFrame, name: str,
     Where the table carries the ``naive`` values of seasonal differences, they are added to prediction and
     truth, and the scaled sums limited below at 0.
     """
-    steps = fitted_horizons(model)
+    return long_forecasts(model.transform(table), fitted_horizons(model), name, with_truth)
+
+
+def long_forecasts(wide: DataFrame, steps: Sequence[int], name: str, with_truth: bool = True) -> DataFrame:
+    """The columns ``pred_{h}`` of a scored table as the rows of :func:`predict_long`."""
     low, high = F.col("consumption_min"), F.col("consumption_max")
-    differenced = "naive" in table.columns
+    differenced = "naive" in wide.columns
 
     def back(scaled: str) -> Column:
         return (reconstruct(F.col(scaled), F.col("_c.naive"), low, high) if differenced
@@ -167,7 +171,7 @@ def predict_long(model: PipelineModel, table: DataFrame, name: str,
                  *([F.col("y")[h - 1].alias("t")] if with_truth else []),
                  *([F.col("naive")[h - 1].alias("naive")] if differenced else [])) for h in steps])
     keep = ["series_id", "origin_ts"] + (["split", "origin_idx", "split_n"] if with_truth else [])
-    rows = model.transform(table).select(*keep, low, high, F.explode(cells).alias("_c"))
+    rows = wide.select(*keep, low, high, F.explode(cells).alias("_c"))
     out = [*keep[:1], F.lit(name).alias("model"), *keep[1:], F.col("_c.h").alias("h"),
            back("_c.p").alias("y_pred")]
     if with_truth:

@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..config import CHANNELS, STRATEGIES, Battery, ForecastConfig, TreeConfig
 from ..functions import scores, weather
 from ..functions.stats import tidy, tidy_small
 from ..operators import (calendar, decompose, ensemble, evaluate, features, models, profile,
-                         quality, residuals, scan, sparse, storage, sweep, window_store, windows)
+                         quality, residuals, scan, sparse, stages, storage, sweep, window_store, windows)
 from ..session import cut_lineage, scratch_path
 from ..sources import cache, tables
 from ..sources.bundle import export_bundle, load_bundle
@@ -768,6 +770,18 @@ def bundle_score(spark, sf):
     return shown(models.score_latest(load_bundle(spark, path), grid))
 
 
+@query
+def stage_search_score(spark, sf):
+    """Features, ridge of the best alpha, original units and bias as one saved and loaded PipelineModel."""
+    grid = typed_model_grid(spark, sf)
+    made = stages.forecaster(CFG, CHANNELS)
+    tuned = made[stages.TUNED]
+    search = stages.ChronologicalValidator(made, ParamGridBuilder().addGrid(tuned.alpha, [0.1, 1.0, 10.0]).build())
+    path = scratch_path(spark, "stages")
+    search.fit(grid).save(path)
+    return shown(stages.for_latest(PipelineModel.load(path)).transform(grid))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Grid, naive forecasts, scores, ranking: the whole path for every user."""
     return leaderboard(spark, sf)
