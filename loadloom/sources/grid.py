@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.timeparts import hour_index, hour_start
+from ..functions.timeparts import hour_index
+from .runs import dense, hour_runs
 
 
 def hourly_grid(events: DataFrame, series: str | Column, ts: str = "ts", value: str = "value",
@@ -15,43 +16,11 @@ def hourly_grid(events: DataFrame, series: str | Column, ts: str = "ts", value:
     counts hours from the start of the span and ``n`` is its length. ``span="global"``
     gives all series the same first and last hour, ``"series"`` each its own.
 
-    Raw rows are scanned once and combined per hour before the only large shuffle: a
-    series of any volume arrives there as one row per hour and task. The hourly sums and
-    one zero row per cell are then added up, so filling the gaps needs no join. Rows
-    without a series or time have no cell; leaving them out here, once, also keeps the
-    plan of the grid the same on both sides of later joins, so that Spark reuses it.
+    The rows are those of the runs of :func:`hour_runs`: a busy hour gives itself and the empty hours up to the next
+    one, where it lies. The empty cells, by far the most rows, are made last, in as many tasks as the session's
+    shuffles have, and pass no shuffle and no aggregation here, so no task holds them. Rows without a series or time have no cell.
     """
-    key = F.col(series) if isinstance(series, str) else series
-    raw = events.select(key.cast("string").alias("series_id"), hour_index(F.col(ts)).alias("hr"),
-                        F.col(value).cast("double").alias("load")).where(
-        "series_id IS NOT NULL AND hr IS NOT NULL")
-    # The filter keeps every row. It makes both uses of the hourly sums, here and below,
-    # read the same columns whatever the caller selects, so the raw rows are scanned and
-    # summed once.
-    hours = raw.groupBy("series_id", "hr").agg(
-        F.sum("load").alias("load"), F.count(F.lit(1)).alias("obs")
-    ).where("obs > 0 OR load IS NOT NULL")
-    spans = hours.groupBy("series_id").agg(F.min("hr").alias("lo"), F.max("hr").alias("hi"))
-    if span == "global":
-        ends = spans.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        spans = spans.select("series_id", ends.select("lo").scalar().alias("lo"),
-                             ends.select("hi").scalar().alias("hi"))
-    elif span != "series":
-        raise ValueError("span must be 'global' or 'series'")
-    cells = spans.select("series_id", F.explode(F.sequence("lo", "hi")).alias("hr"),
-                         F.lit(0.0).alias("load"), F.lit(0).cast("bigint").alias("obs"), "lo", "hi")
-    none = F.lit(None).cast("bigint")
-    rows = hours.select("series_id", "hr", "load", "obs", none.alias("lo"), none.alias("hi"))
-    return (
-        rows.unionByName(cells)
-        .groupBy("series_id", "hr")
-        .agg(F.sum("load").alias("load"), F.sum("obs").alias("n_obs"),
-             F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-        .select("series_id", hour_start(F.col("hr")).alias("ts"),
-                (F.col("hr") - F.col("lo")).alias("pos"),
-                (F.col("hi") - F.col("lo") + 1).alias("n"),
-                F.coalesce("load", F.lit(0.0)).alias("load"), "n_obs")
-    )
+    return dense(hour_runs(events, series, ts, value, span))
 
 
 def with_positions(hourly: DataFrame, ts: str = "ts") -> DataFrame:

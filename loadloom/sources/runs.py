@@ -27,9 +27,11 @@ def hour_runs(events: DataFrame, series: str | Column, ts: str = "ts", value: st
     raw = events.select(key.cast("string").alias("series_id"), hour_index(F.col(ts)).alias("hr"),
                         F.col(value).cast("double").alias("load")).where(
         "series_id IS NOT NULL AND hr IS NOT NULL")
+    # The filter keeps every row. It makes all uses of the hourly sums read the same columns whatever
+    # the caller selects, so the raw rows are scanned and summed once.
     hours = raw.groupBy("series_id", "hr").agg(
-        F.sum("load").alias("load"), F.count(F.lit(1)).alias("n_obs")).withColumn(
-        "_block", F.floor(F.col("hr") / block_hours))
+        F.sum("load").alias("load"), F.count(F.lit(1)).alias("n_obs")).where(
+        "n_obs > 0 OR load IS NOT NULL").withColumn("_block", F.floor(F.col("hr") / block_hours))
     ends = hours.groupBy("series_id", "_block").agg(F.min("hr").alias("_first"), F.max("hr").alias("_last"))
     whole = Window.partitionBy("series_id")  # a row per block
     blocks = ends.select(
@@ -43,7 +45,10 @@ def hour_runs(events: DataFrame, series: str | Column, ts: str = "ts", value: st
     else:
         raise ValueError("span must be 'global' or 'series'")
     inside = Window.partitionBy("series_id", "_block").orderBy("hr")
-    rows = hours.join(blocks, ["series_id", "_block"]).select(
+    # A row stands for up to a whole span of empty hours, so its bytes say little about the work behind it: a fixed
+    # number of tasks, which adaptive execution does not merge.
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = hours.join(blocks, ["series_id", "_block"]).repartition(tasks, "series_id", "_block").select(
         "series_id", "hr", "n_obs", F.coalesce("load", F.lit(0.0)).alias("load"), "_lo",
         F.coalesce(F.lead("hr").over(inside), "_after").alias("_next"), lo.alias("lo"), hi.alias("hi"))
     hr, none = F.col("hr"), F.lit(0).cast("bigint")
