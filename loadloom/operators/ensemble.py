@@ -55,14 +55,16 @@ def _simplex_minimum(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     """Weights w >= 0 with sum 1 that minimise w'Gw - 2 c'w, by an active set."""
     k = len(cross)
     ridge = 1e-10 * max(float(np.trace(gram)), 1e-300) / k
+    whole, right = np.ones((k + 1, k + 1)), np.ones(k + 1)
+    whole[:k, :k], whole[k, k], right[:k] = gram, 0.0, cross
+    whole.flat[:k * (k + 2):k + 2] += ridge
     free = np.ones(k, bool)
     for _ in range(4 * k):
         idx = np.flatnonzero(free)
         n = len(idx)
-        system = np.ones((n + 1, n + 1))
-        system[:n, :n] = gram[np.ix_(idx, idx)] + ridge * np.eye(n)
-        system[n, n] = 0.0
-        solved = np.linalg.lstsq(system, np.append(cross[idx], 1.0), rcond=None)[0]
+        own = np.append(idx, k)
+        system, goal = (whole, right) if n == k else (whole[own[:, None], own], right[own])
+        solved = np.linalg.lstsq(system, goal, rcond=None)[0]
         if solved[:n].min() < -1e-12 and n > 1:
             free[idx[int(np.argmin(solved[:n]))]] = False
             continue
@@ -111,27 +113,55 @@ def _step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=_STATE)
 
 
-def _whole_series(members: Sequence[str], y: str, tolerance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """All passes over the cells of one series of bounded size."""
-    k = len(members)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, t, m = pdf[list(members)].to_numpy(float), pdf[y].to_numpy(float), pdf["_m"].to_numpy(float)
-        now = best = np.full(k, 1 / k)
-        low, bound, floor = None, 0.0, 1.0
-        for step in range(WHOLE_PASSES):
-            e = t - p @ now
-            size = np.abs(e)
-            pull = m / np.maximum(size, max((low or 0.0) * floor, 1e-300)) if step else m
-            sign = pull * e if step else m * np.sign(e)
-            gram = p.T @ (p * pull[:, None])
-            sums = np.concatenate([[gram[i, j] for i in range(k) for j in range(i + 1)], p.T @ (pull * t), p.T @ sign,
-                                   [sign @ t, m.sum(), m @ size, m @ np.abs(t)]])
-            now, best, low, bound, gain, gap = _advance(sums, now, best, low, bound)
-            if k == 1 or gap is None or gap <= tolerance:
-                break
-            floor = max(LOWEST_FLOOR, floor / 4)
-        return pd.DataFrame([(pdf["series_id"].iloc[0], now.tolist(), best.tolist(), low, bound, gain, gap)], columns=_STATE)
+def _passes(p: np.ndarray, t: np.ndarray, m: np.ndarray, tolerance: float) -> tuple:
+    """All passes over the forecasts, truths and multiplicities of one series; its state without the name."""
+    k = p.shape[1]
+    now = best = np.full(k, 1 / k)
+    low, bound, floor = None, 0.0, 1.0
+    total, truth = m.sum(), m @ np.abs(t)
+    for step in range(WHOLE_PASSES):
+        e = t - p @ now
+        size = np.abs(e)
+        pull = m / np.maximum(size, max((low or 0.0) * floor, 1e-300)) if step else m
+        sign = pull * e if step else m * np.sign(e)
+        gram = p.T @ (p * pull[:, None])
+        sums = np.concatenate([gram[np.tril_indices(k)] if k > 3 else [gram[i, j] for i in range(k) for j in range(i + 1)],
+                               p.T @ (pull * t), p.T @ sign, [sign @ t, total, m @ size, truth]])
+        now, best, low, bound, gain, gap = _advance(sums, now, best, low, bound)
+        if k == 1 or gap is None or gap <= tolerance:
+            break
+        floor = max(LOWEST_FLOOR, floor / 4)
+    return now.tolist(), best.tolist(), low, bound, gain, gap
+
+
+def _whole_series(members: Sequence[str], y: str, tolerance: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """All passes over the cells of series of bounded size, whose rows lie together; one is held at a time."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # parts of the last series, which may go on in the next batch
+
+        def solved() -> list[tuple]:
+            if not held:
+                return []
+            p, t, m = (np.concatenate([part[i] for part in held]) for i in (1, 2, 3))
+            # One memory layout whatever the batches were, so that sums agree to the last bit.
+            return [(held[0][0], *_passes(np.asfortranarray(p), t, m, tolerance))]
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            names = pdf["series_id"].to_numpy()
+            p, t, m = pdf[list(members)].to_numpy(float), pdf[y].to_numpy(float), pdf["_m"].to_numpy(float)
+            starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            out = []
+            for at, end in zip(starts, starts[1:]):
+                if held and held[0][0] != names[at]:
+                    out += solved()
+                    held.clear()
+                held.append((names[at], p[at:end], t[at:end], m[at:end]))
+            if out:
+                yield pd.DataFrame(out, columns=_STATE)
+        if held:
+            yield pd.DataFrame(solved(), columns=_STATE)
 
     return run
 
@@ -162,8 +192,11 @@ def search_weights(frame: DataFrame, members: Sequence[str], y: str = "y", split
     small, large = (sizes.where(c).select("series_id") for c in (F.col("_cells") <= whole, F.col("_cells") > whole))
     schema = ("series_id {}, weights array<double>, best array<double>, best_mae double, bound double, "
               "gain double, gap double").format(rows.schema["series_id"].dataType.simpleString())
-    at_once = cut_lineage(rows.join(small, "series_id").groupBy("series_id").applyInPandas(
-        _whole_series(members, y, tolerance), schema))
+    # Few bytes are many passes: a fixed number of tasks, which adaptive execution does not merge. The hash keeps it
+    # apart from the partitioning of the join, with which it would be left out.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_once = cut_lineage(rows.join(small, "series_id").repartition(tasks, F.xxhash64("series_id")).sortWithinPartitions(
+        "series_id").mapInPandas(_whole_series(members, y, tolerance), schema))
     rows = rows.join(large, "series_id", "left_semi")
     state = large.select(
         "series_id", equal.alias("weights"), equal.alias("best"), unknown.alias("best_mae"), F.lit(0.0).alias("bound"),
