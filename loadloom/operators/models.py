@@ -124,9 +124,11 @@ def fit_gbt(table: DataFrame, cfg: ForecastConfig, names: Sequence[str],
 
 
 def fit_forecaster(kind: str, table: DataFrame, cfg: ForecastConfig, names: Sequence[str],
-                   horizons: Sequence[int] | None = None, **params) -> PipelineModel:
-    """One entry point for all model kinds."""
+                   horizons: Sequence[int] | None = None, **params) -> PipelineModel | list[PipelineModel]:
+    """One entry point for all model kinds. ``alphas`` of a ridge give a list, one model each, from one pass."""
     if kind == "ridge":
+        if "alphas" in params:
+            return fit_ridges(table, cfg, names, horizons=horizons, **params)
         return fit_ridge(table, cfg, names, horizons=horizons, **params)
     if kind == "gbt":
         return fit_gbt(table, cfg, names, horizons=horizons, **params)

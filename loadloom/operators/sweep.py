@@ -14,8 +14,7 @@ from ..session import cut_lineage
 from ..sources.tables import write_results_csv
 from .ensemble import search_weights, side_by_side, weighted_by_series
 from .evaluate import evaluate_models
-from .models import (KINDS, feature_names, fit_forecaster, fit_ridges, held, model_table, predict_long,
-                     regressions)
+from .models import KINDS, feature_names, fit_forecaster, held, model_table, predict_long, regressions
 from .windows import NAIVES, forecast_frame, to_long
 
 
@@ -38,7 +37,7 @@ def grid_search(kind: str, table: DataFrame, cfg: ForecastConfig, names: Sequenc
     """
     rows, best = [], (float("inf"), {})
     with held(table):
-        shared = iter(fit_ridges(table, cfg, names, [p["alpha"] for p in grid], horizons)
+        shared = iter(fit_forecaster(kind, table, cfg, names, horizons=horizons, alphas=[p["alpha"] for p in grid])
                       if kind == "ridge" and grid and all(set(p) == {"alpha"} for p in grid) else ())
         for params in grid:
             model = next(shared, None) or fit_forecaster(kind, table, cfg, names, horizons=horizons, **params)
