@@ -35,9 +35,12 @@ def fit_bias(df: DataFrame, split: str = "val", keys: Sequence[str] = BY_MODEL)
 
 
 def subtract_bias(df: DataFrame, bias: DataFrame, keys: Sequence[str] = BY_MODEL) -> DataFrame:
-    """Predictions minus the bias; models without one stay as they are."""
+    """Predictions minus the bias; models without one stay as they are.
+
+    A key has one bias and many rows, so a task holds its biases and lets the rows pass unsorted.
+    """
     return (
-        df.join(bias, list(keys), "left")
+        df.join(bias.hint("shuffle_hash"), list(keys), "left")
         .withColumn("y_pred", F.col("y_pred") - F.coalesce("bias", F.lit(0.0))).drop("bias")
     )
 

@@ -114,6 +114,9 @@ def lag_products(df: DataFrame, value: str, max_lag: int, keys: Sequence[str] =
     schema = T.StructType([
         *[df.schema[k] for k in keys], T.StructField("lag", T.IntegerType()), T.StructField("_pairs", T.LongType()),
         *[T.StructField(c, T.DoubleType()) for c in ("_xs", "_xy", "_mean")]])
+    # The rows compress well, so adaptive execution would merge more of them into a task than it has to sort at once.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *keys, BLOCK)
     sums = rows.groupBy(*keys, BLOCK).applyInPandas(block_sums, schema).groupBy(*keys, "lag").agg(
         *[F.sum(c).alias(c) for c in ("_pairs", "_xs", "_xy")], F.max("_mean").alias("_mean"))
     per_key = Window.partitionBy(*keys)  # max_lag + 1 rows
