@@ -90,3 +90,52 @@ def test_pairs_of_the_bar_share_a_key(spark):
     pairs = {(i, j) for own in lists.values() for at, i in enumerate(own) for j in own[:at]}
     near_pairs = [(i, j) for i, j in pairs if copies.similar(sets[i], sets[j])]
     assert len(near_pairs) >= 5 and all(keys[i] & keys[j] for i, j in near_pairs)
+
+
+def test_pairs_without_a_shared_band_are_linked(spark):
+    """Pairs at exactly 0.8 that no band key joins: four shingles of five."""
+    rows = []
+    for i in (10054, 27630, 77783, 115764):
+        text = " ".join(f"{w}{i}" for w in "abcdefgh")
+        rows += [(2 * i, text), (2 * i + 1, f"{text} i{i}"), (2 * i + 2, f"{text} i{i} j{i} k{i}")]
+        a, b = (set(copies.band_keys(copies.shingles(t.encode())).tolist()) for _, t in rows[-3:-1])
+        assert not a & b and near(plain_set(rows[-3][1]), plain_set(rows[-2][1]))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOC)
+    want = smallest_of_groups(rows)
+    assert len(want) == 8 and {r.doc_id for r in copies.first_of_each(docs).collect()} == want
+
+
+def test_groups_without_any_band(spark):
+    """The prefix search alone finds all links, null ids, empty texts and a line in every text included."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng, line, rows = np.random.default_rng(4), " ".join(f"line{i}" for i in range(30)), []
+    for i in range(60):
+        words_ = [f"x{x}" for x in rng.integers(0, 500, rng.integers(1, 90))]
+        for j in range(rng.integers(1, 4)):
+            rows.append((1_000_000 + 10 * i + j, line + " " + " ".join(words_)))
+            for at in rng.integers(0, len(words_), 2):
+                words_[at] = f"y{rng.integers(0, 500)}"
+    rows += [(2_000_000, None), (2_000_001, ""), (2_000_002, line), (2_000_003, line.upper())]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOC))
+    prints = copies.signatures(docs).withColumn("keys", F.array().cast("array<long>"))
+    found = copies.grouped(prints, docs).groupBy("root").agg(F.min("doc_id")).collect()
+    want = smallest_of_groups([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(found) == len(want) and {r[1] for r in found} == want
+
+
+def test_rarest_shingles_hold_every_pair(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 4, 5, 9, 10, 11, 40, 333):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            least = -(-4 * n // 5)
+            b = np.unique(np.concatenate([rng.permutation(a)[:rng.integers(least, n + 1)], rng.integers(0, 1 << 63, n // 5, np.uint64)]))
+            load = rng.integers(0, 3, 1 << copies.CELL_BITS).astype(np.uint32)
+            x, y = copies.rare_shingles(a, load).tolist(), copies.rare_shingles(b, load).tolist()
+            assert len(x) == n - least + 1
+            if copies.similar(a, b):
+                first = next(i for i, v in enumerate(x) if v in y)
+                assert 9 * min(len(a) - first, len(b) - y.index(x[first])) >= 4 * (len(a) + len(b))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A B C D E"), (None, None)], "doc_id long, text string")
+    want = [copies.cells(copies.shingles(t)) for t in (b"a b c d e f", b"a b c d e")]
+    assert (copies.loads(docs) == np.bincount(np.concatenate(want), minlength=1 << copies.CELL_BITS)).all()
